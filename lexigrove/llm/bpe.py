@@ -27,6 +27,10 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 UNUSUAL = regex.compile(r"[\x00\p{White_Space}--[ \n]]|[ \n][ \n]|[ \n]\Z", regex.V1)
 
 
+#: Marks that commonly follow a word.
+PUNCTUATION = frozenset(".,;:!?")
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in the vocabulary file: itself, or the next one from 256."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -96,6 +100,11 @@ class ByteBpe:
         return array("I", merge_symbols([first[b] for b in word.encode()], self.ranks)).tobytes()
 
     def _segment(self, text: str) -> bytes:
+        body = text[1:] if text[:1] == " " else text
+        if body.isalpha():  # one word
+            return self.word[text]
+        if body and body[-1] in PUNCTUATION and body[:-1].isalpha():  # one word and a mark
+            return self.word[text[:-1]] + self.word[text[-1]]
         return b"".join([self.word[w] for w in self.words.findall(text)])
 
     def _plain(self, text: str) -> bytes:

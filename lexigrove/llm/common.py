@@ -38,16 +38,23 @@ def packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 class Memo(dict):
-    """Remembers ``f`` of short keys; it starts anew when it holds ``limit`` of them, so its size is bounded."""
+    """Remembers ``f`` of short keys, in two generations of at most ``limit`` keys each.
 
-    def __init__(self, f: Callable, limit: int = 250_000, longest: int = 64) -> None:
+    A full generation becomes the old one; what is asked for again moves on to the new one. So its size is bounded,
+    and frequent keys stay.
+    """
+
+    def __init__(self, f: Callable, limit: int = 400_000, longest: int = 64) -> None:
         super().__init__()
-        self.f, self.limit, self.longest = f, limit, longest
+        self.f, self.limit, self.longest, self.old = f, limit, longest, {}
 
     def __missing__(self, key):
-        value = self.f(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.f(key)
         if len(key) <= self.longest:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value

@@ -30,13 +30,19 @@ CAPACITY, END_ID = 2048, 0
 GROUP_ROWS, GROUPS = 200, 4096
 
 
+#: Marks that commonly follow a word.
+PUNCTUATION = frozenset(".,;:!?")
+
+
 class WordIds:
-    """Ids by the tokenizers library, remembered for each run of characters between white space.
+    """Ids by the tokenizers library, remembered for each word and each run of characters between white space.
 
     The vocabulary's tokenizer drops white space and none of its words reaches over any, so a text's ids are those
     of its runs, one after another.
     """
 
+    #: Fixed value: how this vocabulary's tokenizer cuts a text into words.
+    WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
     #: Characters that str.split() drops and the tokenizer doesn't.
     SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -47,14 +53,22 @@ class WordIds:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = {t: array("I", [self.tokenizer.token_to_id(t)]).tobytes() for t in added}
         self.cut_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")")
+        self.word = Memo(self._word)
         self.run = Memo(self._run)
 
+    def _word(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
     def _run(self, run: str) -> bytes:
-        return array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
+        if run.isalpha():  # one word
+            return self.word[run]
+        if run[-1] in PUNCTUATION and run[:-1].isalpha():  # one word and a mark
+            return self.word[run[:-1]] + self.word[run[-1]]
+        return b"".join([self.word[w] for w in self.WORDS.findall(run)])
 
     def _plain(self, text: str) -> bytes:
         if self.SEPARATORS.search(text):
-            return self._run(text)
+            return self._word(text)
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # Lower-casing goes by single characters: no final sigma.

@@ -127,12 +127,12 @@ def _with_base(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    """Of (__row, text, entities): entity, term, n_et."""
+    """Of (__row, text, entities): entity, term, n_et. A null entity counts the rows that hold the term."""
 
     def each(batch: pa.RecordBatch) -> Iterable[tuple]:
         for text, entities in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
             terms = term_hashes(text)
-            for e in entities:
+            for e in (None, *entities):
                 for t in terms:
                     yield e, t
 
@@ -169,18 +169,22 @@ def disclosing(docs: DataFrame, held: DataFrame, text_col: str, generalise: floa
     frequent = entries.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
     entries = entries.join(frequent.select("entity"), "entity", "left_semi")
     texts = held.select("__row", F.col(text_col).alias("text")).join(entries.groupBy("__row").agg(F.collect_set("entity").alias("entities")), "__row")
-    pairs = cut(_pairs(texts).where(F.col("n_et") >= support))
+    counts = cut(_pairs(texts).where(F.col("n_et") >= support))
     n = docs.count()
-    counted = _term_counts(docs, text_col, pairs.select("term"))
     ratio = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t")))
-    content = -F.log2(F.col("n_e") / F.lit(float(max(n, 1))))
-    revealed = (
-        pairs.join(frequent, "entity")
-        .join(counted, "term")
-        .withColumn("__ic", content)
-        .where((F.col("__ic") > 0) & (ratio >= generalise * F.col("__ic")))
-        .select("entity", "term", (ratio >= remove * F.col("__ic")).alias("gone"))
+    enough = (F.col("__ic") > 0) & (ratio >= generalise * F.col("__ic"))
+    # A term is in no fewer documents than in those with frequent entities; pairs too weak even then drop out early.
+    least = counts.where("entity is null").select("term", F.col("n_et").alias("n_t"))
+    pairs = cut(
+        counts.where("entity is not null")
+        .join(frequent, "entity")
+        .withColumn("__ic", -F.log2(F.col("n_e") / F.lit(float(max(n, 1)))))
+        .join(least, "term")
+        .where(enough)
+        .drop("n_t")
     )
+    counted = _term_counts(docs, text_col, pairs.select("term"))
+    revealed = pairs.join(counted, "term").where(enough).select("entity", "term", (ratio >= remove * F.col("__ic")).alias("gone"))
     return entries.join(revealed, "entity").groupBy("__row", "term").agg(F.max("gone").alias("gone")).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("__terms"))
 
 

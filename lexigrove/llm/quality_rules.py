@@ -64,9 +64,14 @@ def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
 def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = TRUSTED) -> list[float]:
     """The log-likelihood ratio of each bucket; counts of the raw corpus are over all documents."""
     trusted = trusted_ids(labels, limit).select(F.col("doc_id").alias("__trusted"))
-    features = with_features(docs, text_col, __id=F.col(id_col)).select("__id", "__features").join(F.broadcast(trusted), F.col("__id") == F.col("__trusted"), "left")
+    words = docs.select(F.col(id_col).alias("__id"), _words(F.coalesce(F.col(text_col), F.lit(""))).alias("__w")).join(F.broadcast(trusted), F.col("__id") == F.col("__trusted"), "left")
+    pairs = words.select(F.col("__trusted").isNotNull().cast("long").alias("__t"), F.explode(F.arrays_zip(F.col("__w").alias("a"), F.slice("__w", 2, F.greatest(F.size("__w") - 1, F.lit(0))).alias("b"))).alias("p"))
+    # The same buckets as in with_features, in generated code: a word's, and its pair's unless it is the last.
+    one = F.pmod(F.xxhash64("p.a"), F.lit(BUCKETS)).cast("int")
+    two = F.when(F.col("p.b").isNotNull(), F.pmod(F.xxhash64(F.xxhash64("p.a"), F.xxhash64("p.b")), F.lit(BUCKETS)).cast("int"))
     counted = (
-        features.select(F.col("__trusted").isNotNull().cast("long").alias("__t"), F.explode("__features").alias("__b"))
+        pairs.select("__t", F.explode(F.array(one, two)).alias("__b"))
+        .where("__b is not null")
         .groupBy("__b")
         .agg(F.count("*").alias("raw"), F.sum("__t").alias("target"))
         .collect()  # at most BUCKETS rows

@@ -6,8 +6,21 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Irregular forms and their stems.
-IRREGULAR = {"flown": "fly", "flew": "fly", "children": "child", "men": "man", "women": "woman", "mice": "mouse", "feet": "foot", "teeth": "tooth", "geese": "goos", "went": "go", "gone": "go", "took": "take", "taken": "take", "wrote": "write", "written": "write", "bought": "buy", "brought": "bring", "thought": "think", "sought": "seek", "taught": "teach", "caught": "catch"}
+#: Stems that stand for irregular forms, and what they become after stemming.
+IRREGULAR = dict(pair.split() for pair in """
+acadian acadia, african africa, american america, analysi analys, analyz analys, antarctica antarct, asian asia,
+australian australia, bacteria bacterium, behaviour behavior, bled bleed, built build, burnt burn, bought bui,
+canadian canada, caught catch, chines china, chose choose, colour color, criteria criterion, eaten eat, fallen fall,
+fell fall, felt feel, fled flee, men man, women woman, children child, choic choos, dead death, deadli death,
+drove drive, driven drive, drainag drain, drank drink, drunk drink, eastern east, failur fail, fertilis fertil,
+flew fly, flown fly, forgot forget, forgotten forget, french franc, germani german, healthi health,
+indonesian indonesia, influenti influenc, injuri injur, iranian iran, irration irrat, iraqi iraq, japanes japan,
+learnt learn, made make, mathemat math, mexican mexico, northern north, norwegian norwai, optimis optim,
+persian persia, portugues portug, reduct reduc, registr regist, rose rise, risen rise, russian russia, slept sleep,
+spanish spain, southern south, succeed succe, success succe, sang sing, sung sing, sank sink, sunk sink, swede sweden,
+swedish sweden, took take, taken take, terrorist terror, thought think, voter vote, wealthi wealth, western west,
+wrote write, written write
+""".split(","))
 STEP2 = (("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"))
 STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
 STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
@@ -32,8 +45,11 @@ def _ends_cvc(word: str) -> bool:
 
 def stem(word: str) -> str:
     """The stem of a lower-case word; anything but letters stays as it is."""
-    if word in IRREGULAR:
-        return IRREGULAR[word]
+    w = _porter(word)
+    return IRREGULAR.get(w, w)
+
+
+def _porter(word: str) -> str:
     if len(word) <= 2 or not (word.isascii() and word.isalpha()):
         return word
     w = word

@@ -38,8 +38,7 @@ def markup_tokens(text: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Character n-grams across tokens joined by '_'; fewer characters give none."""
-    joined = F.array_join(words, "_")
-    return F.when(F.length(joined) >= n, F.transform(F.sequence(F.lit(1), F.length(joined) - (n - 1)), lambda i: F.substr(joined, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(F.array_join(words, "_"), F.lit(f"(?=(.{{{n}}}))"), F.lit(1))
 
 
 def bigrams(words: Column) -> Column:

@@ -34,9 +34,9 @@ def term_scores(corpus: Corpus, relevant: DataFrame, method: str = "okapi") -> D
     that as many documents drawn at random hold the term.
     """
     found = corpus.tf_table.join(F.broadcast(relevant.select("doc_id").distinct()), "doc_id", "left_semi")  # a ranking's best documents
-    size = found.agg(F.count_distinct("doc_id").cast("double").alias("R"), F.sum("tf").cast("double").alias("size"))
+    size = found.agg(F.count_distinct("doc_id").cast("double").alias("docs"), F.sum("tf").cast("double").alias("size"))
     rows = found.groupBy("term").agg(F.count("*").cast("double").alias("r"), F.sum("tf").cast("double").alias("rtf")).join(corpus.lm.select("term", F.col("df").cast("double").alias("df"), F.col("tf").cast("double").alias("cf")), "term").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(corpus.stats))  # one row each
-    r, df, n, big = F.col("r"), F.col("df"), F.col("n"), F.col("R")
+    r, df, n, big = F.col("r"), F.col("df"), F.col("n"), F.col("docs")
     p, q = F.col("rtf") / F.col("size"), F.col("cf") / F.col("total")
     match method:
         case "okapi":

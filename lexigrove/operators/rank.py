@@ -53,6 +53,10 @@ def scorers(query: str) -> list[Scorer]:
     return [Scorer(t, w) for t, w in out.items()]
 
 
+def _is(word: str) -> Callable[[Column], Column]:
+    return lambda token: token == word
+
+
 class Ranking:
     """The scorers of one query over one corpus; containers are documents, or the intervals of ``container``."""
 
@@ -73,7 +77,7 @@ class Ranking:
         nodes = [rewrite(parse(s.text, self.engine.macros)) for s in self.scorers]
         if self.container is None and all(isinstance(x, ast.Term) and not set(x.text) & set("*?$") for x in nodes):
             tokens = self.engine.corpus.tokens
-            tf = [F.size(F.filter("tokens", lambda t, w=x.text: t == w)).cast("double").alias(f"tf{k}") for k, x in enumerate(nodes)]
+            tf = [F.size(F.filter("tokens", _is(x.text))).cast("double").alias(f"tf{k}") for k, x in enumerate(nodes)]
             return tokens.select("doc_id", F.size("tokens").cast("double").alias("dl"), *tf)
         lists = [self.engine.extents(x).select("doc_id", "s", "e", F.lit(k).alias("k")) for k, x in enumerate(nodes)]
         found = reduce(DataFrame.unionByName, lists)

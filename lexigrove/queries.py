@@ -316,7 +316,7 @@ def c_histogram(spark, d):
 
 # Ranking --------------------------------------------------------------------------------------------------------
 
-_RANK = BASE + ", q AS (SELECT unnest(['license', 'public', 'the']) AS term), m AS (SELECT doc_id, term, tf::DOUBLE AS tf FROM tf JOIN q USING (term)), g AS (SELECT term, count(*)::DOUBLE AS df, sum(tf) AS cf FROM m GROUP BY term), r AS (SELECT m.doc_id, m.tf, g.df, g.cf, dl.dl::DOUBLE AS dl, st.* FROM m JOIN g USING (term) JOIN dl USING (doc_id), st) "
+_RANK = BASE + ", q AS (SELECT unnest(['license', 'public', 'the']) AS term), m AS (SELECT doc_id, term, tf::DOUBLE AS tf FROM tf JOIN q USING (term)), g AS (SELECT q.term, count(m.doc_id)::DOUBLE AS df, coalesce(sum(tf), 0) AS cf FROM q LEFT JOIN m USING (term) GROUP BY q.term), r AS (SELECT m.doc_id, m.tf, g.df, g.cf, dl.dl::DOUBLE AS dl, st.* FROM m JOIN g USING (term) JOIN dl USING (doc_id), st) "
 _TOP = " AS score FROM {r} GROUP BY doc_id) SELECT doc_id, score FROM z WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20"
 _W = "(CASE WHEN df < 1 OR df > n - 1 THEN 0 ELSE ln(n / df) END)"
 _FLOOR = f"(CASE WHEN {_W} < 1 THEN {_W} + 0.5 * (1 - {_W}) ELSE {_W} END)"
@@ -345,12 +345,12 @@ def r_bm25_notf(spark, d):
 _GRID = _RANK + ", w AS (SELECT x.doc_id, coalesce(m.tf, 0) AS tf, g.df, g.cf, dl.dl::DOUBLE AS dl, st.* FROM (SELECT DISTINCT doc_id FROM m) x CROSS JOIN g LEFT JOIN m ON m.doc_id = x.doc_id AND m.term = g.term JOIN dl ON dl.doc_id = x.doc_id, st) "
 
 
-@query(_GRID + ", z AS (SELECT doc_id, round(sum(ln(greatest(1e-12, (tf + 2000 * ((cf + 0.5) / total)) / (dl + 2000))) - ln((cf + 0.5) / total)), 5)" + _TOP.format(r="w"))
+@query(_GRID + ", z AS (SELECT doc_id, round(sum(ln(greatest(1e-12, (tf + 2000 * (((CASE WHEN cf = 0 THEN total - 1 ELSE cf END) + 0.5) / total)) / (dl + 2000))) - ln(((CASE WHEN cf = 0 THEN total - 1 ELSE cf END) + 0.5) / total)), 5)" + _TOP.format(r="w"))
 def r_lm_dirichlet(spark, d):
     return _ranked(spark, d, rank.language_model)
 
 
-@query(_GRID + ", z AS (SELECT doc_id, round(sum(ln(greatest(1e-12, 0.8 * tf / dl + 0.2 * ((cf + 0.5) / total))) - ln((cf + 0.5) / total)), 5)" + _TOP.format(r="w"))
+@query(_GRID + ", z AS (SELECT doc_id, round(sum(ln(greatest(1e-12, 0.8 * tf / dl + 0.2 * (((CASE WHEN cf = 0 THEN total - 1 ELSE cf END) + 0.5) / total))) - ln(((CASE WHEN cf = 0 THEN total - 1 ELSE cf END) + 0.5) / total)), 5)" + _TOP.format(r="w"))
 def r_lm_jelinek_mercer(spark, d):
     return _ranked(spark, d, lambda r: rank.language_model(r, "jm"))
 

@@ -24,7 +24,8 @@ from __future__ import annotations
 import functools
 import math
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexigrove.llm.common import OUT_ROWS, Memo, map_batches, packed
+from lexigrove.llm.common import BATCH_ROWS, OUT_ROWS, Memo, map_batches, packed
 from lexigrove.session import cut, shared_dir
 
 #: Words of a shingle; the threshold in hundredths.
@@ -77,6 +78,26 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
+def batch_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """shingles() of each text; the hashing runs over the whole batch at once."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    lengths = np.array([len(w) for w in words], np.int64)
+    flat = np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), np.uint64, int(lengths.sum()))
+    ends = np.cumsum(lengths)
+    out: list[np.ndarray] = []
+    n = max(0, len(flat) - size + 1)
+    rolled = np.full(n, size, np.uint64)
+    for k in range(size):
+        rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + n])
+    for text, length, end in zip(texts, lengths.tolist(), ends.tolist(), strict=True):
+        if length < size:
+            out.append(shingles(text, size))
+            continue
+        s = np.sort(rolled[end - length : end - size + 1])
+        out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
+    return out
+
+
 @functools.cache
 def bands(percent: int) -> list[tuple[int, int, int, int]]:
     """(smallest, largest smaller set, H, segments) of each scheme."""
@@ -96,29 +117,40 @@ def schemes(n: int, percent: int) -> tuple[int, ...]:
     return tuple(k for k, (least, most, _, _) in enumerate(bands(percent)) if least <= n <= most * 100 // percent)
 
 
+def batch_signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures (int64) that the sets index, and for each the number of its set."""
+    uses = [(i, k) for i, s in enumerate(sets) for k in schemes(len(s), percent) if bands(percent)[k][2]]  # without differences only equal sets are similar
+    if not uses:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    owner = np.array([i for i, _ in uses], np.int64)
+    h = np.array([bands(percent)[k][2] for _, k in uses], np.int64)
+    m = np.array([bands(percent)[k][3] for _, k in uses], np.int64)
+    salt = (np.array([k + 1 for _, k in uses], np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    use = np.repeat(np.arange(len(uses)), [len(sets[i]) for i, _ in uses])
+    first = np.cumsum(m) - m
+    token = mix(np.concatenate([sets[i] for i, _ in uses]) + salt[use])
+    segment = first[use] + ((token >> np.uint64(32)) * m[use].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    count = np.bincount(segment, minlength=int(m.sum()))
+    sums = np.zeros(len(count), np.uint64)
+    np.add.at(sums, segment, token)
+    of = np.repeat(np.arange(len(uses)), m)  # the use that a segment belongs to
+    names = mix((np.arange(len(count)) - first[of]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + salt[of])
+    filled = count > 0
+    n = np.bincount(of[filled], minlength=len(uses))
+    parts, owners = [mix(sums[filled] ^ names[filled])], [owner[of[filled]]]
+    # Perhaps all segments that are the same are empty: segments with several shingles index their neighbourhood.
+    near = (n <= h)[use] & (count[segment] > 1)
+    parts.append(mix((sums[segment[near]] - token[near]) ^ names[segment[near]]))
+    owners.append(owner[use[near]])
+    bare = (h <= FEW) & (n <= h - np.where(h <= 3, 1, np.where(h <= 5, 2, 3)))
+    parts.append(mix(salt[bare] ^ np.uint64(0x5851F42D4C957F2D)))
+    owners.append(owner[bare])
+    return np.concatenate(parts).view(np.int64), np.concatenate(owners)
+
+
 def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The signatures (int64) that a set of hashes indexes."""
-    out = []
-    for k in schemes(len(s), percent):
-        _, _, h, m = bands(percent)[k]
-        if not h:
-            continue  # only equal sets are similar
-        salt = np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        token = mix(s + salt)
-        segment = (token >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
-        sums, filled = np.zeros(m, np.uint64), np.zeros(m, bool)
-        np.add.at(sums, segment, token)
-        filled[segment] = True
-        # the segment's number is in its signature; that it is empty needs no bit of its own
-        names = mix(np.arange(m, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + salt)
-        out.append(mix(sums[filled] ^ names[filled]))
-        n = int(filled.sum())
-        if n <= h:  # perhaps all segments that are the same are empty
-            several = np.bincount(segment.astype(np.int64), minlength=m)[segment] > 1
-            out.append(mix((sums[segment] - token)[several] ^ names[segment][several]))
-        if h <= FEW and n <= h - (1 if h <= 3 else 2 if h <= 5 else 3):
-            out.append(mix(salt[None] ^ np.uint64(0x5851F42D4C957F2D)))
-    return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
+    """The signatures of one set."""
+    return np.unique(batch_signatures([s], percent)[0])
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -150,35 +182,42 @@ def _longs(names: str, more: tuple[tuple[str, pa.DataType, str], ...] = ()) -> t
     return pa.schema([(n, t) for n, t, _ in fields]), ", ".join(f"{n} {s}" for n, _, s in fields)
 
 
+def _arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``each`` turns Arrow batches into Arrow batches, without a Python object for each row."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield each(batch)
+
+    return df.mapInArrow(run, schema)
+
+
 def nodes(rows: DataFrame) -> DataFrame:
-    """rid, n, k1, k2 of each row: its set's size and name."""
+    """rid, n, k1, k2, bits of each row: its set's size, name and parity bitmap."""
 
-    def each(batch: pa.RecordBatch) -> Iterable[tuple]:
-        for rid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            s = shingles(text)
-            yield rid, len(s), *key(s)
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = batch_sets(batch[1].to_pylist())
+        keys = [key(s) for s in sets]
+        columns = [batch[0], pa.array([len(s) for s in sets], pa.int64()), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), pa.array([parity(s) for s in sets], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["rid", "n", "k1", "k2", "bits"])
 
-    return map_batches(rows, each, *_longs("rid n k1 k2"))
+    return _arrow(rows, each, "rid long, n long, k1 long, k2 long, bits binary")
 
 
 def indexed(rows: DataFrame, percent: int) -> DataFrame:
     """sig, node: the signatures of each set. A batch gives those of equal sets once."""
 
-    def each(batch: pa.RecordBatch) -> Iterable[tuple]:
-        seen = set()
-        for text in batch[1].to_pylist():
-            s = shingles(text)
-            k = key(s)[0]
-            if len(s) and k not in seen:
-                seen.add(k)
-                for sig in signatures(s, percent).tolist():
-                    yield sig, k
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = {key(s)[0]: s for s in batch_sets(batch[1].to_pylist()) if len(s)}
+        sigs, owner = batch_signatures(list(sets.values()), percent)
+        return pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(np.fromiter(sets, np.int64, len(sets))[owner])], ["sig", "node"])
 
-    return map_batches(rows, each, *_longs("sig node"))
+    return _arrow(rows, each, "sig long, node long")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rid, k1, n, set, bits of the rows whose rid is in ``wanted`` (and of a few others)."""
+    """rid, k1, set of the rows whose rid is in ``wanted`` (and of a few others)."""
     bits = wanted.select(F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS)).alias("b")).groupBy(F.floor(F.col("b") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("bits"))
     filled = np.zeros(FILTER_BITS // 32, "<u4")
     for word, x in bits.collect():  # at most FILTER_BITS / 32 rows
@@ -190,10 +229,10 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         for rid, text, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if known[b]:
                 s = shingles(text)
-                yield rid, key(s)[0], len(s), s.tobytes(), parity(s)
+                yield rid, key(s)[0], s.tobytes()
 
     hashed = rows.select("rid", "text", F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS)).alias("b"))
-    return map_batches(hashed, each, *_longs("rid k1 n", (("set", pa.binary(), "binary"), ("bits", pa.binary(), "binary"))))
+    return map_batches(hashed, each, *_longs("rid k1", (("set", pa.binary(), "binary"),)))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -212,6 +251,26 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(joined, each, *_longs("a b", (("ok", pa.bool_(), "boolean"),)))
 
 
+def _judged(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """a, b, ok of ``pairs``; the sets are made anew for the rows that pairs name."""
+    wanted = cut(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct())
+    sets = cut(_sets(rows, wanted).join(wanted, "rid", "left_semi"))
+    return verified(pairs, sets, percent).groupBy("a", "b").agg(F.bool_or("ok").alias("ok"))
+
+
+def _possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """hub, node, a, b, maybe of ``pairs`` (with na, nb, bits_a, bits_b): false where sizes or parity bits rule a link out."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        na, nb = (np.asarray(batch[k].to_numpy(zero_copy_only=False), np.int64) for k in (4, 5))
+        x, y = (np.frombuffer(b"".join(batch[k].to_pylist()), np.uint64).reshape(len(batch), -1) for k in (6, 7))
+        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        maybe = (differ <= (na + nb) * (100 - percent) // (100 + percent)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(maybe)], ["hub", "node", "a", "b", "maybe"])
+
+    return _arrow(pairs.select("hub", "node", "a", "b", "na", "nb", "bits_a", "bits_b"), each, "hub long, node long, a long, b long, maybe boolean")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node that edges (a, b) reach; nodes without edges are left out.
 
@@ -230,7 +289,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
-def _mixed_pairs(members: DataFrame, edges: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _mixed_pairs(members: DataFrame, edges: DataFrame, labels: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs of mixed buckets that the bounds leave possible.
 
     ``members``: sig, hub, node; ``edges``: hub, node, ok. A bucket is mixed if a member isn't similar to its hub and
@@ -238,7 +297,7 @@ def _mixed_pairs(members: DataFrame, edges: DataFrame, labels: DataFrame, sets:
     """
     judged = members.join(edges.select("hub", "node", "ok"), ["hub", "node"])
     mixed = judged.groupBy("sig").agg(F.count("*").alias("c"), F.bool_and("ok").alias("all")).where("c > 1 and not all").select("sig", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    facts = sets.select(F.col("k1").alias("node"), "rid", "n", "bits").join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    facts = facts.select(F.col("k1").alias("node"), F.col("rep").alias("rid"), "n", "bits").join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     rows = members.select("sig", "node").join(mixed, "sig").join(facts, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Each block meets itself and every other one: a row goes to as many cells as there are blocks.
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "label", "n", "bits")
@@ -287,7 +346,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Data
     spark = docs.sparkSession
     rows = docs.select(_rid(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
     named = cut(nodes(rows))
-    classes = cut(named.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("rep")))
+    classes = cut(named.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")))
     bucket = Window.partitionBy("sig").orderBy("node")
     folder = f"{shared_dir(spark)}/ngram-join-{uuid.uuid4().hex}"
     (
@@ -299,18 +358,17 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Data
         .write.parquet(folder)
     )
     members = spark.read.schema("sig long, hub long, node long").parquet(folder)
-    node = classes.select(F.col("k1").alias("node"), F.col("rep").alias("b"))
-    hub = classes.select(F.col("k1").alias("hub"), F.col("rep").alias("a"))
-    edges = cut(members.select("hub", "node").distinct().join(node, "node").join(hub, "hub"))
-    wanted = cut(edges.select(F.col("a").alias("rid")).union(edges.select(F.col("b").alias("rid"))).distinct())
-    sets = cut(_sets(rows, wanted).join(wanted, "rid", "left_semi").join(classes.select("k1", F.col("rep").alias("rid")), ["k1", "rid"], "left_semi").dropDuplicates(["rid", "k1"]))
-    judged = cut(verified(edges.select("a", "b").distinct(), sets, percent))
+    node = classes.select(F.col("k1").alias("node"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    hub = classes.select(F.col("k1").alias("hub"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    edges = cut(_possible(members.select("hub", "node").distinct().join(node, "node").join(hub, "hub"), percent))
+    judged = cut(_judged(rows, edges.where("maybe").select("a", "b").distinct(), percent))
     links = judged.where("ok").select("a", "b")
     labels = cut(components(links))
-    found = edges.join(judged, ["a", "b"])
-    more = cut(_mixed_pairs(members, found, labels, sets, percent).join(judged.select("a", "b"), ["a", "b"], "left_anti").join(judged.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+    found = edges.join(judged, ["a", "b"], "left").select("hub", "node", F.coalesce("ok", F.lit(False)).alias("ok"))
+    tried = edges.select("a", "b").union(edges.select("b", "a"))
+    more = cut(_mixed_pairs(members, found, labels, classes, percent).join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        further = cut(verified(more, sets, percent).where("ok").select("a", "b"))
+        further = cut(_judged(rows, more, percent).where("ok").select("a", "b"))
         if not further.isEmpty():
             labels = cut(components(links.union(further)))
     whole = cut(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("label")))

@@ -45,7 +45,7 @@ SEGMENTS = 0.28
 #: meet in a bucket of their own; beyond, hashing would have to leave more than half of all segments empty, which has a
 #: chance under 1e-10 a set.
 FEW = 8
-#: Bits of a parity bitmap; members of a mixed bucket that are held at once.
+#: Bits of a parity bitmap, of which mixed buckets hold a quarter; members of a mixed bucket that are held at once.
 BITS, BLOCK = 1024, 2000
 #: Bits of the filter for documents whose sets are needed; its size is fixed, and a full filter only saves less work.
 FILTER_BITS = 1 << 23
@@ -159,6 +159,11 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def folded(bits: bytes) -> bytes:
+    """The parity bitmap of a quarter of the size."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(4, -1), axis=0).tobytes()
+
+
 def key(s: np.ndarray) -> tuple[int, int]:
     """128 bits that name the set."""
     h = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -194,15 +199,16 @@ def _arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], sche
 
 
 def nodes(rows: DataFrame) -> DataFrame:
-    """rid, n, k1, k2, bits of each row: its set's size, name and parity bitmap."""
+    """rid, n, k1, k2, bits, small of each row: its set's size, name and parity bitmaps."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = batch_sets(batch[1].to_pylist())
         keys = [key(s) for s in sets]
-        columns = [batch[0], pa.array([len(s) for s in sets], pa.int64()), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), pa.array([parity(s) for s in sets], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["rid", "n", "k1", "k2", "bits"])
+        bits = [parity(s) for s in sets]
+        columns = [batch[0], pa.array([len(s) for s in sets], pa.int64()), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), pa.array(bits, pa.binary()), pa.array(map(folded, bits), pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["rid", "n", "k1", "k2", "bits", "small"])
 
-    return _arrow(rows, each, "rid long, n long, k1 long, k2 long, bits binary")
+    return _arrow(rows, each, "rid long, n long, k1 long, k2 long, bits binary, small binary")
 
 
 def indexed(rows: DataFrame, percent: int) -> DataFrame:
@@ -295,9 +301,10 @@ def _mixed_pairs(members: DataFrame, edges: DataFrame, labels: DataFrame, facts:
     ``members``: sig, hub, node; ``edges``: hub, node, ok. A bucket is mixed if a member isn't similar to its hub and
     there are further ones.
     """
-    judged = members.join(edges.select("hub", "node", "ok"), ["hub", "node"])
-    mixed = judged.groupBy("sig").agg(F.count("*").alias("c"), F.bool_and("ok").alias("all")).where("c > 1 and not all").select("sig", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    facts = facts.select(F.col("k1").alias("node"), F.col("rep").alias("rid"), "n", "bits").join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    facts = facts.select(F.col("k1").alias("node"), F.col("rep").alias("rid"), "n", F.col("small").alias("bits")).join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    # Labels come first, without bitmaps: buckets whose members are one group by now need nothing more.
+    judged = members.join(edges.select("hub", "node", "ok").join(facts.select("node", "label"), "node"), ["hub", "node"])
+    mixed = judged.groupBy("sig").agg(F.count("*").alias("c"), F.bool_and("ok").alias("all"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("c > 1 and not all and l0 <> l1").select("sig", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     rows = members.select("sig", "node").join(mixed, "sig").join(facts, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Each block meets itself and every other one: a row goes to as many cells as there are blocks.
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "label", "n", "bits")
@@ -346,7 +353,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Data
     spark = docs.sparkSession
     rows = docs.select(_rid(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
     named = cut(nodes(rows))
-    classes = cut(named.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")))
+    classes = cut(named.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("small").alias("small")))
     bucket = Window.partitionBy("sig").orderBy("node")
     folder = f"{shared_dir(spark)}/ngram-join-{uuid.uuid4().hex}"
     (
@@ -366,7 +373,9 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Data
     labels = cut(components(links))
     found = edges.join(judged, ["a", "b"], "left").select("hub", "node", F.coalesce("ok", F.lit(False)).alias("ok"))
     tried = edges.select("a", "b").union(edges.select("b", "a"))
-    more = cut(_mixed_pairs(members, found, labels, classes, percent).join(tried, ["a", "b"], "left_anti"))
+    more = _mixed_pairs(members, found, labels, classes, percent).join(tried, ["a", "b"], "left_anti")
+    of_a, of_b = (classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    more = cut(_possible(more.join(of_a, "a").join(of_b, "b").withColumns({"hub": F.col("a"), "node": F.col("b")}), percent).where("maybe").select("a", "b").distinct())
     if not more.isEmpty():
         further = cut(_judged(rows, more, percent).where("ok").select("a", "b"))
         if not further.isEmpty():

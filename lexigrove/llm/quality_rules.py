@@ -116,4 +116,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     table = _literal(weights(docs, labels, id_col, text_col))
     row = F.struct(*(F.col(c) for c in docs.columns))
     rows = base_counts(with_features(docs, text_col, __row=row))
-    return _judged(rows, table, threshold).where("kept").select("__row.*")
+    # A number for each row keeps the optimizer from moving the condition, and with it copies of all that it is made
+    # of, down through the projections.
+    return _judged(rows, table, threshold).withColumn("__number", F.monotonically_increasing_id()).where("kept and __number >= 0").select("__row.*")

@@ -3,8 +3,8 @@
 Entities are the values that the patterns find. Over the whole corpus, the number of documents that hold an entity
 (n_e), a term (n_t) and both (n_et) gives the entity's information content IC(e) = -log2(n_e / N) and the pointwise
 mutual information PMI(e, t) = log2(n_et * N / (n_e * n_t)). A term with PMI(e, t) >= ``generalise`` * IC(e) says so
-much of e that it is generalised in documents that hold e; at ``remove`` * IC(e) it is removed. Support under
-``support`` documents is no evidence.
+much of e that it is generalised in documents that hold e; at ``remove`` * IC(e) it is removed. That holds for entities of
+any support: a term that is in no other document than an entity's only one tells all of it.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A text without any of these characters holds none of the kinds.
 MAY_HOLD = "[0-9@]"
 TERM = re.compile(r"[^\W\d_]{4,}")
-#: Shares of an entity's information at which a term is generalised or removed; documents that count as evidence.
-GENERALISE, REMOVE, SUPPORT = 0.95, 1.0, 3
+#: Shares of an entity's information at which a term is generalised or removed.
+GENERALISE, REMOVE = 0.95, 1.0
 #: Bits of the filter for terms that may matter; its size is fixed, and a full filter only saves less work.
 FILTER_BITS = 1 << 22
 
@@ -163,22 +163,20 @@ def _term_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing(docs: DataFrame, held: DataFrame, text_col: str, generalise: float, remove: float, support: int) -> DataFrame:
+def disclosing(docs: DataFrame, held: DataFrame, text_col: str, generalise: float, remove: float) -> DataFrame:
     """__row, __terms (map of term hash to whether it is removed) for rows of ``held`` with terms that reveal their entities."""
     entries = held.select("__row", F.explode("__entities").alias("entity"))
-    frequent = entries.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    entries = entries.join(frequent.select("entity"), "entity", "left_semi")
-    texts = held.select("__row", F.col(text_col).alias("text")).join(entries.groupBy("__row").agg(F.collect_set("entity").alias("entities")), "__row")
-    counts = cut(_pairs(texts).where(F.col("n_et") >= support))
+    entities = entries.groupBy("entity").agg(F.count("*").alias("n_e"))
+    counts = cut(_pairs(held.select("__row", F.col(text_col).alias("text"), F.col("__entities").alias("entities"))))
     n = docs.count()
     ratio = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t")))
     enough = (F.col("__ic") > 0) & (ratio >= generalise * F.col("__ic"))
-    # A term is in no fewer documents than in those with frequent entities; pairs too weak even then drop out early.
+    # A term is in no fewer documents than in those with entities; pairs too weak even then drop out early.
     least = counts.where("entity is null").select("term", F.col("n_et").alias("n_t"))
     pairs = cut(
         counts.where("entity is not null")
-        .join(frequent, "entity")
-        .withColumn("__ic", -F.log2(F.col("n_e") / F.lit(float(max(n, 1)))))
+        .join(entities, "entity")
+        .withColumn("__ic", F.log2(F.lit(float(max(n, 1))) / F.col("n_e")))  # equals the ratio to the last bit where n_et = n_t
         .join(least, "term")
         .where(enough)
         .drop("n_t")
@@ -188,22 +186,22 @@ def disclosing(docs: DataFrame, held: DataFrame, text_col: str, generalise: floa
     return entries.join(revealed, "entity").groupBy("__row", "term").agg(F.max("gone").alias("gone")).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("__terms"))
 
 
-def _found(docs: DataFrame, text_col: str, generalise: float, remove: float, support: int) -> tuple[DataFrame, DataFrame]:
+def _found(docs: DataFrame, text_col: str, generalise: float, remove: float) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` that hold nothing, and the others with their base spans and __terms."""
     may = F.coalesce(F.col(text_col).rlike(MAY_HOLD), F.lit(False))
     held = cut(_with_base(docs.where(may), text_col)).withColumn("__row", F.monotonically_increasing_id())
-    terms = disclosing(docs, held.where(F.size("__entities") > 0), text_col, generalise, remove, support)
+    terms = disclosing(docs, held.where(F.size("__entities") > 0), text_col, generalise, remove)
     return docs.where(~may), held.join(terms, "__row", "left")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base (spans as text), spans (all, as text).
 
     Spans are kind:start:end in code points, end exclusive. Null and empty texts have none. Repeated rows each give
     a row and each count as a document; null ids pass through; other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    without, held = _found(docs, "text", generalise, remove, support)
+    without, held = _found(docs, "text", generalise, remove)
 
     def each(batch: pa.RecordBatch) -> Iterable[tuple]:
         for i, text, terms in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2].to_pylist(), strict=True):
@@ -220,9 +218,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", genera
     return nothing.unionByName(plain).unionByName(revealed)
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``docs`` with sanitised texts; all rows and columns stay. Null and empty texts stay as they are."""
-    without, held = _found(docs, text_col, generalise, remove, support)
+    without, held = _found(docs, text_col, generalise, remove)
     columns, at = docs.columns, docs.columns.index(text_col)
     schema = docs.schema
 

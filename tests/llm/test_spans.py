@@ -1,6 +1,7 @@
 """Personal data and secrets against plain regular expressions."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -90,3 +91,21 @@ def test_terms_that_reveal_an_entity(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert clean[0] == " writes from [EMAIL] about cheese" and clean[10] == texts[10]
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_terms_reveal_entities_of_any_support(spark):
+    rng = random.Random(11)
+    words = [a + b for a in ("alder", "birch", "cedar", "maple") for b in ("wood", "leaf", "root", "bark", "seed")]
+    mails = [f"u{k}@x.yz" for k in range(12)]
+    texts = [" ".join([rng.choice(mails)] * rng.randint(0, 1) + rng.sample(words, rng.randint(1, 4)) + [f"only{chr(97 + k)}"] * (k < 9)) for k in range(40)]
+    held, terms = ([set(re.findall(p, t)) for t in texts] for p in (r"\S+@\S+", "[a-z]{4,}"))
+    count = lambda e, t: sum((e is None or e in a) and (t is None or t in b) for a, b in zip(held, terms, strict=True))
+    want = []
+    for text, entities, own in zip(texts, held, terms, strict=True):
+        ratios = {t: max((math.log2(count(e, t) * len(texts) / count(e, None) / count(None, t)) / math.log2(len(texts) / count(e, None)) for e in entities), default=0) for t in own}
+        want.append((sorted((m.start(), m.end()) for t, x in ratios.items() if x >= 0.95 for m in re.finditer(rf"\b{t}\b", text)), " ".join("[EMAIL]" if "@" in w else "" if ratios.get(w, 0) > 0.999999 else "[TERM]" if ratios.get(w, 0) >= 0.95 else w for w in text.split(" "))))
+    assert {count(e, None) for a in held for e in a} >= {1, 2} and any(listed for listed, _ in want)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: [(int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "term"] for r in pii.find(docs).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert [(spans[k], clean[k]) for k in range(len(texts))] == want

@@ -1,9 +1,9 @@
 """Substring dedup: lines, cut further at sentence ends, hashed and grouped over the whole corpus.
 
 A unit is a line or a sentence of one, normalised to its lower-cased words. Of equal units the earliest ranked
-occurrence (by document id, then row, then place) stays. Later occurrences are removed where an unbroken run of them
-in one document has at least ``run_words`` words: single common sentences are no copied passage. Offsets are those of
-the original text, in code points.
+occurrence (by document id, then row, then place) stays. Later occurrences are removed, whatever their length, unless
+``run_words`` asks for a least number of words in an unbroken run of them in one document. Offsets are those of the
+original text, in code points.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 from lexigrove.llm.common import map_batches
 from lexigrove.session import cut
 
-#: Words that a run of repeated units must have to be removed.
-RUN_WORDS = 40
+#: Words that a run of repeated units must have to be removed: every repeated unit goes.
+RUN_WORDS = 1
 #: Up to a sentence's end before white space, or the line's end; white space after it belongs to it.
 UNIT = re.compile(r"[^\n.!?]*+(?:[.!?]++(?!\s|\Z)[^\n.!?]*+)*+(?:[.!?]+|\n|\Z)\s*+")
 WORD = re.compile(r"\w+")

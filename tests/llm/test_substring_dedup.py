@@ -47,3 +47,10 @@ def test_removal_and_odd_rows(spark):
     assert sorted(x[1] for x in out if x[0] == 2) in (["", "Tail."], ["Tail.", "Tail."])
     assert (2, "Tail.", [(n + 1, n + 6)]) in out and (None, "", []) in out and len(out) == 7
     assert s.repeats(docs.limit(0)).count() == 0
+
+
+def test_every_repeated_unit_goes(spark):
+    rows = [(1, "Terms of use.\nFirst text here. A short one. "), (2, "Terms of use.\nOther words. A short one. End."), (3, "A short one.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.start, r.end) for r in s.repeats(docs).collect()) == brute(rows, 1) == [(2, 0, 14), (2, 27, 40), (3, 0, 12)]
+    assert {r.doc_id: r.text for r in s.remove(docs).collect()} == {1: rows[0][1], 2: "Other words. End.", 3: ""}

@@ -77,17 +77,27 @@ def best_passage(o: list[Occurrence], dl: float, c: dict) -> tuple[float, int, i
 
 
 def best_run(o: list[Occurrence], dl: float, c: dict, k1: float = K1, b: float = B) -> tuple[float, int, int]:
-    """The best run of neighbouring matches by W k1 tf / (K + tf), K from the run's length."""
+    """The best run of neighbouring matches by W k1 tf / (K + tf), K from the run's length.
+
+    All ends are tried up to where even all matches that are left, at no more length, would score less than the best.
+    """
     w = [x * math.log(c["n"] / d) if d else 0.0 for x, d in zip(c["w"], c["df"], strict=True)]
+    left: dict[int, int] = {}
+    for _, _, k in o:
+        left[k] = left.get(k, 0) + 1
     best = (0.0, 0, 0)
     for i in range(len(o)):
         tf: dict[int, int] = {}
         end = o[i][1]
-        for s, e, k in o[i : i + 64]:
+        for j in range(i, len(o)):
+            _, e, k = o[j]
             tf[k] = tf.get(k, 0) + 1
             end = max(end, e)
             norm = k1 * ((1 - b) + b * (end - o[i][0] + 1) / c["avgdl"])
-            best = max(best, (sum(w[j] * k1 * f / (norm + f) for j, f in tf.items()), -o[i][0], -end))
+            best = max(best, (sum(w[x] * k1 * f / (norm + f) for x, f in tf.items()), -o[i][0], -end))
+            if sum(max(w[x], 0.0) * k1 * f / (norm + f) for x, f in left.items()) < best[0] * (1 - 1e-9):
+                break
+        left[o[i][2]] -= 1
     return best[0], -best[1], -best[2]
 
 

@@ -27,13 +27,14 @@ def judged(labels: DataFrame) -> DataFrame:
     return labels.select(F.lit(1).alias("topic"), "doc_id", F.col("quality").alias("judgement"))
 
 
-def term_scores(corpus: Corpus, relevant: DataFrame, method: str = "okapi") -> DataFrame:
+def term_scores(corpus: Corpus, relevant: DataFrame, method: str = "okapi", few: bool = True) -> DataFrame:
     """term, r, score, weight of the terms of ``relevant`` documents (doc_id).
 
     okapi: r ln(N/df), for terms of at least two of them; kld: p ln(p/q) where p > q; billerbeck: 1 less the chance
-    that as many documents drawn at random hold the term.
+    that as many documents drawn at random hold the term. Only ``few`` documents, as a ranking's best, are broadcast.
     """
-    found = corpus.tf_table.join(F.broadcast(relevant.select("doc_id").distinct()), "doc_id", "left_semi")  # a ranking's best documents
+    ids = relevant.select("doc_id").distinct()
+    found = corpus.tf_table.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     size = found.agg(F.count_distinct("doc_id").cast("double").alias("docs"), F.sum("tf").cast("double").alias("size"))
     rows = found.groupBy("term").agg(F.count("*").cast("double").alias("r"), F.sum("tf").cast("double").alias("rtf")).join(corpus.lm.select("term", F.col("df").cast("double").alias("df"), F.col("tf").cast("double").alias("cf")), "term").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(corpus.stats))  # one row each
     r, df, n, big = F.col("r"), F.col("df"), F.col("n"), F.col("docs")
@@ -64,10 +65,10 @@ def _ln_choose(n: Column, k: Column) -> Column:
     return _ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k)
 
 
-def expand(engine: Engine, query: list[Scorer], relevant: DataFrame, method: str = "okapi", terms: int = TERMS, weight: float = WEIGHT) -> list[Scorer]:
+def expand(engine: Engine, query: list[Scorer], relevant: DataFrame, method: str = "okapi", terms: int = TERMS, weight: float = WEIGHT, few: bool = True) -> list[Scorer]:
     """``query`` with at most ``terms`` new scorers; terms with a query term's stem are none, nor are stopwords."""
     have = {stem(s.text.strip('"$')) for s in query}
-    chosen = term_scores(engine.corpus, relevant, method).where("length(term) > 1").orderBy(F.desc("score"), "term").limit(terms + len(have) * 8 + 100).collect()
+    chosen = term_scores(engine.corpus, relevant, method, few).where("length(term) > 1").orderBy(F.desc("score"), "term").limit(terms + len(have) * 8 + 100).collect()
     fresh: list[Scorer] = []
     for row in chosen:
         s = stem(row["term"])
@@ -85,11 +86,11 @@ def pseudo_feedback(engine: Engine, query: str, method: str = "okapi", docs: int
     return second.rank(bm25(second), count)
 
 
-def relevance_feedback(engine: Engine, query: str, qrels: DataFrame, method: str = "okapi", docs: int = DOCS, count: int = 20) -> DataFrame:
-    """BM25 with terms of the first ``docs`` documents judged relevant."""
+def relevance_feedback(engine: Engine, query: str, qrels: DataFrame, method: str = "okapi", count: int = 20) -> DataFrame:
+    """BM25 with terms of all documents judged relevant."""
     first = Ranking(engine, query)
-    relevant = qrels.where("judgement > 0").orderBy("doc_id").limit(docs).select("doc_id")
-    second = Ranking(engine, expand(engine, first.scorers, relevant, method))
+    relevant = qrels.where("judgement > 0").select("doc_id")
+    second = Ranking(engine, expand(engine, first.scorers, relevant, method, few=False))
     return second.rank(bm25(second), count)
 
 

@@ -3,7 +3,10 @@
 import math
 import random
 
+from lexigrove.operators import feedback
+from lexigrove.operators.gcl import Engine
 from lexigrove.operators.passages import best_run
+from lexigrove.sources.corpus import Corpus
 
 
 def plain_run(o, c, k1=1.2, b=0.75):
@@ -31,3 +34,10 @@ def test_best_run_tries_all_ends():
                 at.append(at[-1] + rng.randint(1, gap))
             o = [(s, s + rng.randint(0, 2), rng.choice([0, 1, 2, 2, 2])) for s in at]
             assert best_run(o, 1.0, c) == plain_run(o, c)
+
+
+def test_feedback_uses_all_relevant_documents(spark):
+    texts = ["plain"] * 16 + ["zebra"] * 14 + ["public other"] * 40
+    engine = Engine(Corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    qrels = spark.createDataFrame([(1, k, int(k < 30)) for k in range(70)], "topic int, doc_id long, judgement int")
+    assert {r.doc_id for r in feedback.relevance_feedback(engine, '"nothing"', qrels, count=100).collect()} == set(range(30))

@@ -542,8 +542,7 @@ def d_reordered(spark, d):
 
 @query()
 def l_stems(spark, d):
-    terms = count.top_terms(corpus(spark, d), 500).select("term")
-    return terms.select("term", stem_udf("term").alias("stem"))
+    return corpus(spark, d).lm.select("term", stem_udf("term").alias("stem"))
 
 
 @query(BASE + "SELECT doc_id, len(list_filter(t, lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in text.STOPWORDS["en"]) + "))) AS words FROM tk")

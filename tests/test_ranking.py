@@ -2,10 +2,14 @@
 
 import math
 import random
+import re
 
+from lexigrove.functions.stem import stem
 from lexigrove.operators import feedback
 from lexigrove.operators.gcl import Engine
 from lexigrove.operators.passages import best_run
+from lexigrove.queries import QUERIES
+from lexigrove.session import table
 from lexigrove.sources.corpus import Corpus
 
 
@@ -41,3 +45,12 @@ def test_feedback_uses_all_relevant_documents(spark):
     engine = Engine(Corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
     qrels = spark.createDataFrame([(1, k, int(k < 30)) for k in range(70)], "topic int, doc_id long, judgement int")
     assert {r.doc_id for r in feedback.relevance_feedback(engine, '"nothing"', qrels, count=100).collect()} == set(range(30))
+
+
+def test_all_terms_are_stemmed(spark):
+    d = "/root/testdata/sf0.001"
+    words = {w.lower() for r in table(spark, d, "documents").select("text").collect() for w in re.findall("[A-Za-z0-9]{1,19}", r.text or "")}
+    number = re.compile("^.?[0-9]")
+    terms = {w for w in words if not (number.search(w) and (len(w) > 8 or (len(w) > 7 and w[0] > "1")))}
+    found = QUERIES["l_stems"](spark, d).collect()
+    assert len(found) == len(terms) > 500 and {r.term: r.stem for r in found} == {w: stem(w) for w in terms}

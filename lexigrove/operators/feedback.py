@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexigrove.functions.stem import stem
-from lexigrove.functions.text import STOPWORDS
+from lexigrove.functions.text import STOPWORDS, normalised
 from lexigrove.operators.gcl import Engine
+from lexigrove.operators.passages import _bm25_weights, _collection
 from lexigrove.operators.rank import Ranking, Scorer, bm25
 from lexigrove.sources.corpus import Corpus
 
@@ -118,13 +119,30 @@ def rerank_bayes(corpus: Corpus, ranked: DataFrame, best: int = DOCS, terms: int
     return ranked.join(mean, "doc_id", "left").select("doc_id", F.round(F.col("score") + F.coalesce("x", F.lit(0.0)), 5).alias("score"))
 
 
-def rerank_links(ranked: DataFrame, links: DataFrame, urls: DataFrame, decay: float = 0.98) -> DataFrame:
-    """doc_id, score: the score times 1 + ln(1 + votes); a document votes for those it links to by decay^its rank.
+def rerank_links(r: Ranking, ranked: DataFrame, links: DataFrame, urls: DataFrame, decay: float = 0.98) -> DataFrame:
+    """doc_id, score: the score times 1 + ln(1 + votes); only documents of ``ranked``, a ranking of ``r``, vote.
 
-    ``links``: doc_id, url; ``urls``: doc_id, url. Only a ranking's own documents vote.
+    A document votes once for each that it links to, by its share of the top score times decay^its rank: a tenth of
+    that, and nine tenths times the square of the share of the query's weight in the anchors (times 1.3 if one of them
+    is all of the query and nothing else). ``links``: doc_id, url, anchor; ``urls``: doc_id, url.
     """
-    placed = ranked.withColumn("__r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "doc_id")))  # a ranking's rows
-    votes = links.join(F.broadcast(placed.select("doc_id", F.pow(F.lit(decay), F.col("__r") - 1).alias("v"))), "doc_id").join(urls.withColumnRenamed("doc_id", "to"), "url").where("doc_id <> to").groupBy(F.col("to").alias("doc_id")).agg(F.sum("v").alias("votes"))
+    w = _bm25_weights(_collection(r))
+    index = {x: k for k, s in enumerate(r.scorers) for t in [s.text.strip('"').lower()] for x in (t, stem(t) + "$")}
+    n = r.n
+
+    @F.udf("struct<ks:array<int>,exact:boolean>")
+    def held(anchor):
+        words = set((anchor or "").split())
+        ks = {index[x] for t in words for x in (t, stem(t) + "$") if x in index}
+        return sorted(ks), len(ks) == len(words) == n
+
+    placed = ranked.withColumn("__r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "doc_id"))).withColumn("__top", F.max("score").over(Window.partitionBy(F.lit(0))))  # a ranking's rows
+    voters = F.broadcast(placed.select("doc_id", (F.col("score") / F.col("__top") * F.pow(F.lit(decay), F.col("__r") - 1)).alias("v")))
+    targets = urls.join(F.broadcast(placed.select("doc_id", "__r")), "doc_id").groupBy("url").agg(F.max_by("doc_id", "__r").alias("to"))
+    found = links.join(voters, "doc_id").join(targets, "url").where("doc_id <> to").withColumn("a", held(normalised(F.col("anchor"))))
+    pairs = found.groupBy("doc_id", "to", "v").agg(F.array_distinct(F.flatten(F.collect_set("a.ks"))).alias("ks"), F.max("a.exact").alias("exact"))
+    share = F.aggregate("ks", F.lit(0.0), lambda x, k: x + F.element_at(F.array(*map(F.lit, w)), k + 1)) / sum(w)
+    votes = pairs.select(F.col("to").alias("doc_id"), (F.col("v") * (0.9 * share * share * F.when(F.col("exact"), 1.3).otherwise(1.0) + 0.1)).alias("v")).groupBy("doc_id").agg(F.sum("v").alias("votes"))
     return ranked.join(votes, "doc_id", "left").select("doc_id", F.round(F.col("score") * (1 + F.ln(1 + F.coalesce("votes", F.lit(0.0)))), 5).alias("score"))
 
 

@@ -477,8 +477,8 @@ def f_rerank_links(spark, d):
     r = rank.Ranking(Engine(pages), '"the", "of"')
     ranked = r.rank(rank.bm25(r), 200)
     urls = pages.docs.select("doc_id", text.normalised_url(F.col("url")).alias("url"))
-    links = pages.docs.select("doc_id", F.explode(text.links(F.col("text"))).alias("l")).select("doc_id", text.normalised_url(F.col("l.url")).alias("url"))
-    return feedback.rerank_links(ranked, links, urls)
+    links = pages.docs.select("doc_id", F.explode(text.links(F.col("text"))).alias("l")).select("doc_id", text.normalised_url(F.col("l.url")).alias("url"), "l.anchor")
+    return feedback.rerank_links(r, ranked, links, urls)
 
 
 @query()

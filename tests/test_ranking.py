@@ -8,6 +8,7 @@ from lexigrove.functions.stem import stem
 from lexigrove.operators import feedback
 from lexigrove.operators.gcl import Engine
 from lexigrove.operators.passages import best_run
+from lexigrove.operators.rank import Ranking
 from lexigrove.queries import QUERIES
 from lexigrove.session import table
 from lexigrove.sources.corpus import Corpus
@@ -47,6 +48,18 @@ def test_feedback_uses_all_relevant_documents(spark):
     assert {r.doc_id for r in feedback.relevance_feedback(engine, '"nothing"', qrels, count=100).collect()} == set(range(30))
 
 
+def test_links_vote_once_and_by_their_anchors(spark):
+    engine = Engine(Corpus(spark.createDataFrame([(k, t) for k, t in enumerate(["red fox", "red fox", "fox", "none", "none", "none"])], "doc_id long, text string")))
+    r = Ranking(engine, '"red", "fox"')
+    ranked = spark.createDataFrame([(0, 4.0), (1, 2.0), (2, 1.0)], "doc_id long, score double")
+    links = spark.createDataFrame([(0, "b", "Red foxes!"), (0, "b", "here"), (0, "c", "fox"), (1, "c", "no"), (2, "c", "red fox"), (5, "b", "red fox")], "doc_id long, url string, anchor string")
+    urls = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "doc_id long, url string")
+    red, fox = math.log(6 / 2), (1 + math.log(6 / 3)) / 2
+    votes = {0: 0.0, 1: 0.1 + 0.9 * 1.3, 2: 0.1 + 0.9 * (fox / (red + fox)) ** 2 + 0.5 * 0.98 * 0.1}
+    want = {k: round(score * (1 + math.log(1 + votes[k])), 5) for k, score in ((0, 4.0), (1, 2.0), (2, 1.0))}
+    assert {x.doc_id: x.score for x in feedback.rerank_links(r, ranked, links, urls).collect()} == want
+
+
 def test_all_terms_are_stemmed(spark):
     d = "/root/testdata/sf0.001"
     words = {w.lower() for r in table(spark, d, "documents").select("text").collect() for w in re.findall("[A-Za-z0-9]{1,19}", r.text or "")}

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Rows of an Arrow batch that goes to Python. Texts differ widely in length, so few rows are sent at once.
+#: Rows that are worked on at once. Texts differ widely in length, so a batch of Spark's (64 MB at most) is sliced.
 BATCH_ROWS = 512
 #: A batch of results is sent back once it holds so many rows, or about so many bytes.
 OUT_ROWS, OUT_BYTES = 8192, 8_000_000
@@ -15,12 +15,11 @@ OUT_ROWS, OUT_BYTES = 8192, 8_000_000
 
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterable[tuple]], schema: pa.Schema, spark_schema: str) -> DataFrame:
     """``each`` turns an Arrow batch into result rows; they leave in batches of bounded size."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
-        for batch in batches:
+        for batch in sliced(batches):
             for row in each(batch):
                 rows.append(row)
                 held += 16 * len(row) + sum(len(x) for x in row if isinstance(x, (str, bytes)))
@@ -33,6 +32,23 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterable[tuple]]
     return df.mapInArrow(run, spark_schema)
 
 
+def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], spark_schema: str) -> DataFrame:
+    """``each`` turns an Arrow batch into another one, without a Python object for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            yield each(batch)
+
+    return df.mapInArrow(run, spark_schema)
+
+
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of between one and BATCH_ROWS rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
 def packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(column, type=field.type) for column, field in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 

@@ -8,24 +8,28 @@ schemes in which it may be either. What a set indexes is allocated by cost:
 - an empty segment costs a collision with every other set that has it empty, and is given no signature;
 - other segments are given the signature of their shingles;
 - a set with so many empty segments that the pigeonhole argument might fail also indexes each segment's
-  one-deletion neighbourhood, which finds segments that differ by one shingle.
+  one-deletion neighbourhood, which finds segments that differ by one shingle;
+- a set of which H / 2 segments hold nearly all shingles might share no signature even so (see ``bare``), and meets
+  others of that kind in one bucket of its scheme.
 
 A segment's signature is a sum of hashed shingles, so a deletion is one subtraction. Equal signatures only make
 candidates; those are verified on the sets themselves.
 
-Sets that are equal are one node. Every node is compared with the least node of each of its buckets, which settles
-groups of copies in as many comparisons as they have members. Only where a bucket's members are not all joined to
-each other by then are its pairs looked at, in blocks of bounded size, with an exact bound on the symmetric difference
-(the number of bits that differ between parity bitmaps) before the verification.
+Sets that are equal are one node. The hub of a bucket is the member that meets most others over all its buckets: of a
+group of copies that is the original, as edits take copies out of buckets. Every node is compared with the hubs of its
+buckets, which settles groups of copies in about as many comparisons as they have members. Only where the others in a
+bucket are not one component by then are its pairs looked at, in blocks of bounded size. An exact bound on the symmetric
+difference (the number of bits that differ between parity bitmaps, which grow with the sets) comes before verification.
+
+What a step leaves is written to the shared folder and dropped when its successor is written.
 """
 
 from __future__ import annotations
 
 import functools
 import math
-import uuid
-from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +38,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexigrove.llm.common import BATCH_ROWS, OUT_ROWS, Memo, map_batches, packed
-from lexigrove.session import cut, shared_dir
+from lexigrove.llm.common import OUT_ROWS, Memo, map_arrow, map_batches, packed
+from lexigrove.session import Shelf
 
 #: Words of a shingle; the threshold in hundredths.
 SHINGLE, PERCENT = 5, 80
 #: Segments for each shingle of a scheme's largest smaller set, beyond the pigeonhole's least number.
 SEGMENTS = 0.28
-#: Two sets of which both fill hardly any segment might escape all signatures. With at most so many differences they
-#: meet in a bucket of their own; beyond, hashing would have to leave more than half of all segments empty, which has a
-#: chance under 1e-10 a set.
-FEW = 8
-#: Bits of a parity bitmap, of which mixed buckets hold a quarter; members of a mixed bucket that are held at once.
-BITS, BLOCK = 1024, 2000
+#: The least bits of a parity bitmap; members of a mixed bucket that meet at once; bytes of bitmaps compared at once.
+BITS, BLOCK, COMPARED = 1024, 2000, 1 << 24
+#: Pairs that a task remembers, so as not to give them again for each bucket they share.
+SEEN = 500_000
 #: Bits of the filter for documents whose sets are needed; its size is fixed, and a full filter only saves less work.
 FILTER_BITS = 1 << 23
 #: From here on, numbers stand for rows without an id.
@@ -117,6 +119,17 @@ def schemes(n: int, percent: int) -> tuple[int, ...]:
     return tuple(k for k, (least, most, _, _) in enumerate(bands(percent)) if least <= n <= most * 100 // percent)
 
 
+def bare(counts: np.ndarray, h: int, percent: int) -> bool:
+    """Whether a set with so many shingles in each segment might share no other signature with a similar one.
+
+    Let two similar sets share none. Then all their filled segments differ. A segment with one difference would be
+    found by its deletion, unless it is empty in one of the sets. So shingles that both have are in segments with two
+    differences or more, of which there are at most h / 2; and they are at least ``percent`` hundredths of either set.
+    """
+    most = np.sort(counts)[::-1][: h // 2].sum()
+    return bool(100 * most >= percent * counts.sum())
+
+
 def batch_signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """The signatures (int64) that the sets index, and for each the number of its set."""
     uses = [(i, k) for i, s in enumerate(sets) for k in schemes(len(s), percent) if bands(percent)[k][2]]  # without differences only equal sets are similar
@@ -142,9 +155,9 @@ def batch_signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np
     near = (n <= h)[use] & (count[segment] > 1)
     parts.append(mix((sums[segment[near]] - token[near]) ^ names[segment[near]]))
     owners.append(owner[use[near]])
-    bare = (h <= FEW) & (n <= h - np.where(h <= 3, 1, np.where(h <= 5, 2, 3)))
-    parts.append(mix(salt[bare] ^ np.uint64(0x5851F42D4C957F2D)))
-    owners.append(owner[bare])
+    last = np.array([u for u in np.flatnonzero(n <= h) if bare(count[first[u] : first[u] + m[u]], int(h[u]), percent)], np.int64)
+    parts.append(mix(salt[last] ^ np.uint64(0x5851F42D4C957F2D)))
+    owners.append(owner[last])
     return np.concatenate(parts).view(np.int64), np.concatenate(owners)
 
 
@@ -155,13 +168,27 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 def parity(s: np.ndarray) -> bytes:
     """Bits that an odd number of the set's hashes map to; they differ in no more places than the sets have differences."""
-    bits = np.bincount((mix(s) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    width = max(BITS, 1 << (2 * len(s) - 1).bit_length()) if len(s) else BITS
+    bits = np.bincount((mix(s) % np.uint64(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-def folded(bits: bytes) -> bytes:
-    """The parity bitmap of a quarter of the size."""
-    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(4, -1), axis=0).tobytes()
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """The parity bitmap in ``size`` bytes, a power of two no larger than it is, as 64-bit words."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def differences(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many bits each two bitmaps differ, in the narrower one's size."""
+    return np.array([np.bitwise_count(folded(x, w := min(len(x), len(y))) ^ folded(y, w)).sum() for x, y in zip(a, b, strict=True)], np.int64)
+
+
+def possible(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+
+
+def most_differences(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    return (na + nb) * (100 - percent) // (100 + percent)
 
 
 def key(s: np.ndarray) -> tuple[int, int]:
@@ -187,28 +214,16 @@ def _longs(names: str, more: tuple[tuple[str, pa.DataType, str], ...] = ()) -> t
     return pa.schema([(n, t) for n, t, _ in fields]), ", ".join(f"{n} {s}" for n, _, s in fields)
 
 
-def _arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``each`` turns Arrow batches into Arrow batches, without a Python object for each row."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield each(batch)
-
-    return df.mapInArrow(run, schema)
-
-
 def nodes(rows: DataFrame) -> DataFrame:
-    """rid, n, k1, k2, bits, small of each row: its set's size, name and parity bitmaps."""
+    """rid, n, k1, k2, bits of each row: its set's size, name and parity bitmap."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = batch_sets(batch[1].to_pylist())
         keys = [key(s) for s in sets]
-        bits = [parity(s) for s in sets]
-        columns = [batch[0], pa.array([len(s) for s in sets], pa.int64()), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), pa.array(bits, pa.binary()), pa.array(map(folded, bits), pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["rid", "n", "k1", "k2", "bits", "small"])
+        columns = [batch[0], pa.array([len(s) for s in sets], pa.int64()), *(pa.array([k[x] for k in keys], pa.int64()) for x in (0, 1)), pa.array([parity(s) for s in sets], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["rid", "n", "k1", "k2", "bits"])
 
-    return _arrow(rows, each, "rid long, n long, k1 long, k2 long, bits binary, small binary")
+    return map_arrow(rows, each, "rid long, n long, k1 long, k2 long, bits binary")
 
 
 def indexed(rows: DataFrame, percent: int) -> DataFrame:
@@ -219,11 +234,11 @@ def indexed(rows: DataFrame, percent: int) -> DataFrame:
         sigs, owner = batch_signatures(list(sets.values()), percent)
         return pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(np.fromiter(sets, np.int64, len(sets))[owner])], ["sig", "node"])
 
-    return _arrow(rows, each, "sig long, node long")
+    return map_arrow(rows, each, "sig long, node long")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rid, k1, set of the rows whose rid is in ``wanted`` (and of a few others)."""
+    """rid, set of the rows whose rid is in ``wanted`` (and of a few others)."""
     bits = wanted.select(F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS)).alias("b")).groupBy(F.floor(F.col("b") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("bits"))
     filled = np.zeros(FILTER_BITS // 32, "<u4")
     for word, x in bits.collect():  # at most FILTER_BITS / 32 rows
@@ -234,11 +249,10 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         known = there.value
         for rid, text, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if known[b]:
-                s = shingles(text)
-                yield rid, key(s)[0], s.tobytes()
+                yield rid, shingles(text).tobytes()
 
     hashed = rows.select("rid", "text", F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS)).alias("b"))
-    return map_batches(hashed, each, *_longs("rid k1", (("set", pa.binary(), "binary"),)))
+    return map_batches(hashed, each, *_longs("rid", (("set", pa.binary(), "binary"),)))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -257,11 +271,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(joined, each, *_longs("a b", (("ok", pa.bool_(), "boolean"),)))
 
 
-def _judged(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """a, b, ok of ``pairs``; the sets are made anew for the rows that pairs name."""
-    wanted = cut(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct())
-    sets = cut(_sets(rows, wanted).join(wanted, "rid", "left_semi"))
-    return verified(pairs, sets, percent).groupBy("a", "b").agg(F.bool_or("ok").alias("ok"))
+def _judged(shelf: Shelf, rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """a, b, ok of distinct ``pairs``; the sets are made anew for the rows that pairs name."""
+    wanted = shelf.put(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct())
+    # Rows that share an id may hold different texts; an id stands for the text of the class that it represents.
+    sets = shelf.put(_sets(rows, wanted).join(wanted, "rid", "left_semi").distinct())
+    judged = shelf.put(verified(pairs, sets, percent).groupBy("a", "b").agg(F.bool_or("ok").alias("ok")))
+    shelf.drop(wanted, sets)
+    return judged
 
 
 def _possible(pairs: DataFrame, percent: int) -> DataFrame:
@@ -269,79 +286,95 @@ def _possible(pairs: DataFrame, percent: int) -> DataFrame:
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         na, nb = (np.asarray(batch[k].to_numpy(zero_copy_only=False), np.int64) for k in (4, 5))
-        x, y = (np.frombuffer(b"".join(batch[k].to_pylist()), np.uint64).reshape(len(batch), -1) for k in (6, 7))
-        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-        maybe = (differ <= (na + nb) * (100 - percent) // (100 + percent)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+        differ = differences(batch[6].to_pylist(), batch[7].to_pylist())
+        maybe = (differ <= most_differences(na, nb, percent)) & possible(na, nb, percent)
         return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(maybe)], ["hub", "node", "a", "b", "maybe"])
 
-    return _arrow(pairs.select("hub", "node", "a", "b", "na", "nb", "bits_a", "bits_b"), each, "hub long, node long, a long, b long, maybe boolean")
+    return map_arrow(pairs.select("hub", "node", "a", "b", "na", "nb", "bits_a", "bits_b"), each, "hub long, node long, a long, b long, maybe boolean")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(shelf: Shelf, edges: DataFrame) -> DataFrame:
     """node, label: the least node that edges (a, b) reach; nodes without edges are left out.
 
     Large-star and small-star steps by turns; each is a few joins on what is left of the edges.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct())
+    edges = shelf.put(edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct())
     while True:
         both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("m", "x"))
-        large = cut(both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct())
-        least = cut(large.groupBy("x").agg(F.min("y").alias("m")))
+        large = shelf.put(both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct())
+        least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").select(F.explode(F.array(F.struct(F.col("y").alias("x"), F.col("m").alias("y")), F.struct("x", F.col("m").alias("y")))).alias("e")).select("e.*").where("x <> y").distinct()
-        after = cut(small)
-        if after.join(edges, ["x", "y"], "left_anti").isEmpty() and edges.join(after, ["x", "y"], "left_anti").isEmpty():
-            return after.select(F.col("x").alias("node"), F.col("y").alias("label")).unionByName(after.select(F.col("y").alias("node"), F.col("y").alias("label")).distinct())
+        after = shelf.put(small)
+        same = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
+        shelf.drop(large, edges)
         edges = after
+        if same:
+            return after.select(F.col("x").alias("node"), F.col("y").alias("label")).unionByName(after.select(F.col("y").alias("node"), F.col("y").alias("label")).distinct())
 
 
-def _mixed_pairs(members: DataFrame, edges: DataFrame, labels: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of mixed buckets that the bounds leave possible.
-
-    ``members``: sig, hub, node; ``edges``: hub, node, ok. A bucket is mixed if a member isn't similar to its hub and
-    there are further ones.
-    """
-    facts = facts.select(F.col("k1").alias("node"), F.col("rep").alias("rid"), "n", F.col("small").alias("bits")).join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    # Labels come first, without bitmaps: buckets whose members are one group by now need nothing more.
-    judged = members.join(edges.select("hub", "node", "ok").join(facts.select("node", "label"), "node"), ["hub", "node"])
-    mixed = judged.groupBy("sig").agg(F.count("*").alias("c"), F.bool_and("ok").alias("all"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("c > 1 and not all and l0 <> l1").select("sig", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    rows = members.select("sig", "node").join(mixed, "sig").join(facts, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _starred(shelf: Shelf, rows: DataFrame, percent: int) -> DataFrame:
+    """sig, hub, node: of each bucket with several nodes, the hub and each other node."""
+    bucket = Window.partitionBy("sig").orderBy("node")
+    apart = shelf.put(
+        indexed(rows, percent)
+        .withColumn("before", F.lag("node").over(bucket))
+        .withColumn("least", F.first("node").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .where("before is not null and node <> before")
+        .select("sig", "least", "node")
+    )
+    members = shelf.put(apart.select("sig", "node").union(apart.groupBy("sig").agg(F.min("least").alias("node")).select("sig", "node")))
+    others = apart.groupBy("sig").agg(F.count("*").alias("others"))
+    met = members.join(others, "sig").groupBy("node").agg(F.sum("others").alias("met"))
+    hubs = members.join(met, "node").groupBy("sig").agg(F.max(F.struct("met", "node"))["node"].alias("hub"))
+    starred = shelf.put(members.join(hubs, "sig").where("node <> hub").select("sig", "hub", "node"))
+    shelf.drop(apart, members)
+    return starred
+
+
+def _mixed_pairs(starred: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of mixed buckets that sizes and parity bits leave possible. A bucket is mixed if nodes beside its
+    hub, with which all were compared, are in different components (``known``: node, rid, n, bits, label)."""
+    mixed = starred.join(known.select("node", "label"), "node").groupBy("sig").agg(F.count("*").alias("c"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("sig", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     # Each block meets itself and every other one: a row goes to as many cells as there are blocks.
-    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "label", "n", "bits")
-    cells = cells.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    dealt = starred.join(mixed, "sig").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("sig", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block").join(known, "node")
+    cells = cells.select("sig", "i", "j", "block", "rid", "label", "n", "bits").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
-    def pairs_of(run: list[tuple]) -> Iterable[tuple]:
+    def pairs_of(run: list[tuple]) -> Iterator[tuple[int, int]]:
         block, rid, label, n = (np.array(c, np.int64) for c in list(zip(*run, strict=True))[3:7])
         if len(set(label.tolist())) < 2:
             return
-        bits = np.unpackbits(np.frombuffer(b"".join(r[7] for r in run), np.uint8).reshape(len(run), -1), axis=1).astype(np.float32)
-        ones, across = bits.sum(axis=1), run[0][1] != run[0][2]
-        for at in range(0, len(run), 256):
-            part = slice(at, at + 256)
-            differ = ones[part, None] + ones[None, :] - 2 * (bits[part] @ bits.T)
-            most = (n[part, None] + n[None, :]) * (100 - percent) // (100 + percent)
-            possible = (differ <= most) & (label[part, None] != label[None, :]) & (rid[part, None] < rid[None, :]) & (np.abs(n[part, None] - n[None, :]) <= most)
+        size = min(len(r[7]) for r in run)
+        bits, across = np.stack([folded(r[7], size) for r in run]), run[0][1] != run[0][2]
+        for at in range(0, len(run), 64):
+            part = slice(at, at + 64)
+            meet = (label[part, None] != label[None, :]) & (rid[part, None] < rid[None, :]) & possible(n[part, None], n[None, :], percent)
             if across:
-                possible &= block[part, None] != block[None, :]
-            for x, y in zip(*np.nonzero(possible), strict=True):
-                yield int(rid[at + x]), int(rid[y])
+                meet &= block[part, None] != block[None, :]
+            xs, ys = np.nonzero(meet)
+            xs += at
+            for k in range(0, len(xs), step := max(1, COMPARED // size)):
+                x, y = xs[k : k + step], ys[k : k + step]
+                near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= most_differences(n[x], n[y], percent)
+                yield from zip(rid[x[near]].tolist(), rid[y[near]].tolist(), strict=True)
 
     schema, text = _longs("a b")
 
-    def run_all(batches):
-        run: list[tuple] = []
-        out: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if run and row[:3] != run[0][:3]:
-                    out += pairs_of(run)
-                    run = []
-                    if len(out) >= OUT_ROWS:
-                        yield packed(out, schema)
-                        out = []
-                run.append(row)
-        if run:
-            out += pairs_of(run)
+    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        seen: set[tuple[int, int]] = set()
+        out: list[tuple[int, int]] = []
+        for _, cell in groupby(rows, key=lambda row: row[:3]):
+            for pair in pairs_of(list(cell)):
+                if pair not in seen:
+                    seen.add(pair)
+                    out.append(pair)
+                if len(out) >= OUT_ROWS:
+                    yield packed(out, schema)
+                    out = []
+                if len(seen) >= SEEN:
+                    seen.clear()
         if out:
             yield packed(out, schema)
 
@@ -350,37 +383,28 @@ def _mixed_pairs(members: DataFrame, edges: DataFrame, labels: DataFrame, facts:
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """rid, n, label of each row: the label is the least rid of its group."""
-    spark = docs.sparkSession
+    shelf = Shelf(docs.sparkSession, "ngram-join")
     rows = docs.select(_rid(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
-    named = cut(nodes(rows))
-    classes = cut(named.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("small").alias("small")))
-    bucket = Window.partitionBy("sig").orderBy("node")
-    folder = f"{shared_dir(spark)}/ngram-join-{uuid.uuid4().hex}"
-    (
-        indexed(rows, percent)
-        .withColumn("before", F.lag("node").over(bucket))
-        .withColumn("hub", F.first("node").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .where("before is not null and node <> before")
-        .select("sig", "hub", "node")
-        .write.parquet(folder)
-    )
-    members = spark.read.schema("sig long, hub long, node long").parquet(folder)
-    node = classes.select(F.col("k1").alias("node"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    hub = classes.select(F.col("k1").alias("hub"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    edges = cut(_possible(members.select("hub", "node").distinct().join(node, "node").join(hub, "hub"), percent))
-    judged = cut(_judged(rows, edges.where("maybe").select("a", "b").distinct(), percent))
+    named = shelf.put(nodes(rows))
+    classes = shelf.put(named.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("rid"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")))
+    starred = _starred(shelf, rows, percent)
+    node = classes.select(F.col("k1").alias("node"), F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    hub = classes.select(F.col("k1").alias("hub"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    edges = shelf.put(_possible(starred.select("hub", "node").distinct().join(node, "node").join(hub, "hub"), percent))
+    judged = _judged(shelf, rows, edges.where("maybe").select("a", "b").distinct(), percent)
     links = judged.where("ok").select("a", "b")
-    labels = cut(components(links))
-    found = edges.join(judged, ["a", "b"], "left").select("hub", "node", F.coalesce("ok", F.lit(False)).alias("ok"))
+    labels = shelf.put(components(shelf, links))
+    known = shelf.put(classes.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select(F.col("k1").alias("node"), "rid", "n", "bits", F.coalesce("label", "rid").alias("label")))
     tried = edges.select("a", "b").union(edges.select("b", "a"))
-    more = _mixed_pairs(members, found, labels, classes, percent).join(tried, ["a", "b"], "left_anti")
-    of_a, of_b = (classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    more = cut(_possible(more.join(of_a, "a").join(of_b, "b").withColumns({"hub": F.col("a"), "node": F.col("b")}), percent).where("maybe").select("a", "b").distinct())
+    more = shelf.put(_mixed_pairs(starred, known, percent).join(tried, ["a", "b"], "left_anti"))
+    shelf.drop(starred, edges, known)
     if not more.isEmpty():
-        further = cut(_judged(rows, more, percent).where("ok").select("a", "b"))
+        further = _judged(shelf, rows, more, percent).where("ok").select("a", "b")
         if not further.isEmpty():
-            labels = cut(components(links.union(further)))
-    whole = cut(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("label")))
+            shelf.drop(labels)
+            labels = shelf.put(components(shelf, links.union(further)))
+    whole = shelf.put(classes.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("k1", "k2", F.coalesce("label", "rid").alias("label")))
+    shelf.drop(more, judged, labels, classes)
     return named.join(whole, ["k1", "k2"], "left").select("rid", "n", F.when(F.col("n") == 0, F.col("rid")).otherwise(F.col("label")).alias("label"))
 
 
@@ -400,5 +424,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
 
     A row without an id goes if any other text of its group stays; rows that share both id and group stay together.
     """
-    gone = cut(_labelled(docs, id_col, text_col, percent).where("rid <> label").select(F.col("rid").alias("__gone")).distinct())
-    return docs.withColumn("__rid", _rid(id_col, text_col)).join(gone, F.col("__rid") == F.col("__gone"), "left_anti").select(docs.columns)
+    gone = Shelf(docs.sparkSession, "ngram-gone").put(_labelled(docs, id_col, text_col, percent).where("rid <> label").select(F.col("rid").alias("gone")).distinct())
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), _rid(id_col, text_col).alias("rid"))
+    return rows.join(gone, F.col("rid") == F.col("gone"), "left_anti").select("row.*")

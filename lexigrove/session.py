@@ -8,8 +8,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Fixed value: Spark's setting for shuffle files that go when the query that wrote them has ended.
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: shuffle files go when the query that wrote them has ended, and Python gets few
+#: rows at once, as texts may be long.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
 
 
 def local_session(cpus: int = 8, memory: str = "8g", app: str = "lexigrove", shared: str = "/tmp/lexigrove-shared") -> SparkSession:
@@ -44,17 +45,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A setting that holds for the block only."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings that hold for the block only."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 class Shelf:
@@ -71,7 +74,7 @@ class Shelf:
 
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.tables)}"
-        with setting(self.spark, FREE_SHUFFLES, "true"):
+        with settings(self.spark, WHILE_WRITING):
             df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append(table)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Rows that are worked on at once. Texts differ widely in length, so a batch of Spark's (64 MB at most) is sliced.
 BATCH_ROWS = 512
@@ -13,7 +14,7 @@ BATCH_ROWS = 512
 OUT_ROWS, OUT_BYTES = 8192, 8_000_000
 
 
-def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterable[tuple]], schema: pa.Schema, spark_schema: str) -> DataFrame:
+def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterable[tuple]], schema: pa.Schema, spark_schema: str | T.StructType) -> DataFrame:
     """``each`` turns an Arrow batch into result rows; they leave in batches of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,7 +33,7 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterable[tuple]]
     return df.mapInArrow(run, spark_schema)
 
 
-def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], spark_schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], spark_schema: str | T.StructType) -> DataFrame:
     """``each`` turns an Arrow batch into another one, without a Python object for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ any support: a term that is in no other document than an entity's only one tells
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lexigrove.llm.common import BATCH_ROWS, map_batches
-from lexigrove.session import cut
+from lexigrove.llm.common import map_arrow, map_batches
+from lexigrove.session import Shelf
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -87,9 +88,16 @@ def term_hashes(text: str) -> set[int]:
 
 
 def term_spans(text: str, terms: dict[int, bool], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Occurrences of the terms outside base spans; kind 4."""
-    taken = [(s, e) for s, _, e in base]
-    return [(m.start(), 4, m.end()) for m in TERM.finditer(text) if _hash(m.group().lower()) in terms and not any(s < m.end() and m.start() < e for s, e in taken)]
+    """Occurrences of the terms outside base spans; kind 4. One sweep over both, which come in order of their starts."""
+    out, ahead, covered = [], iter(base), 0
+    span = next(ahead, None)
+    for m in TERM.finditer(text):
+        while span and span[0] < m.end():
+            covered = max(covered, span[2])
+            span = next(ahead, None)
+        if covered <= m.start() and _hash(m.group().lower()) in terms:
+            out.append((m.start(), 4, m.end()))
+    return out
 
 
 def sanitised(text: str, base: list[tuple[int, int, int]], terms: dict[int, bool]) -> str:
@@ -105,48 +113,31 @@ def sanitised(text: str, base: list[tuple[int, int, int]], terms: dict[int, bool
     return "".join([*out, text[at:]])
 
 
-def _with_base(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` that may hold something, with __n0..__n3, __spans and __entities (hashes of values)."""
-    at = docs.columns.index(text_col)
-    added = pa.schema([*(pa.field(f"__n{k}", pa.int64()) for k in range(4)), pa.field("__spans", pa.string()), pa.field("__entities", pa.list_(pa.int64()))])
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def _with_base(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc, text) with n0..n3 (spans of each kind), base (as text) and entities (hashes of distinct values)."""
+    added = pa.schema([*(pa.field(f"n{k}", pa.int64()) for k in range(4)), pa.field("base", pa.string()), pa.field("entities", pa.list_(pa.int64()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list] = [[] for _ in added]
-            for text in batch[at].to_pylist():
-                spans = base_spans(text or "")
-                for k in range(4):
-                    columns[k].append(sum(x[1] == k for x in spans))
-                columns[4].append(listed(spans))
-                columns[5].append(sorted({_hash(f"{k}:{text[s:e]}") for s, k, e in spans}))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, f.type) for c, f in zip(columns, added, strict=True))], schema=pa.schema([*batch.schema, *added]))
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns: list[list] = [[] for _ in added]
+        for text in batch[1].to_pylist():
+            spans = base_spans(text)
+            for k in range(4):
+                columns[k].append(sum(x[1] == k for x in spans))
+            columns[4].append(listed(spans))
+            columns[5].append(sorted({_hash(f"{k}:{text[s:e]}") for s, k, e in spans}))
+        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, f.type) for c, f in zip(columns, added, strict=True))], schema=pa.schema([*batch.schema, *added]))
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"__n{k}", T.LongType()) for k in range(4)), T.StructField("__spans", T.StringType()), T.StructField("__entities", T.ArrayType(T.LongType()))])
-    return docs.mapInArrow(run, schema)
+    kinds = [*(T.StructField(f"n{k}", T.LongType()) for k in range(4)), T.StructField("base", T.StringType()), T.StructField("entities", T.ArrayType(T.LongType()))]
+    return map_arrow(rows, each, T.StructType([*rows.schema.fields, *kinds]))
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Of (__row, text, entities): entity, term, n_et. A null entity counts the rows that hold the term."""
-
-    def each(batch: pa.RecordBatch) -> Iterable[tuple]:
-        for text, entities in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-            terms = term_hashes(text)
-            for e in (None, *entities):
-                for t in terms:
-                    yield e, t
-
-    pairs = map_batches(rows.select("text", "entities"), each, pa.schema([("entity", pa.int64()), ("term", pa.int64())]), "entity long, term long")
-    return pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-
-
-def _term_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
-    """n_t over all of ``docs``, for ``terms`` and a few others that the fixed-size filter lets through."""
+def _term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """n_t over all of ``texts``, for ``terms`` and a few others that the fixed-size filter lets through."""
     bits = terms.select(F.pmod("term", F.lit(FILTER_BITS)).alias("b")).groupBy(F.floor(F.col("b") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("bits"))
     filled = np.zeros(FILTER_BITS // 32, "<u4")
     for word, x in bits.collect():  # at most FILTER_BITS / 32 rows
         filled[word] = x
-    there = docs.sparkSession.sparkContext.broadcast(np.unpackbits(filled.view("u1"), bitorder="little").astype(bool).tobytes())
+    there = texts.sparkSession.sparkContext.broadcast(np.unpackbits(filled.view("u1"), bitorder="little").astype(bool).tobytes())
 
     def each(batch: pa.RecordBatch) -> Iterable[tuple]:
         known = there.value
@@ -159,78 +150,99 @@ def _term_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
                         counts[t] = counts.get(t, 0) + 1
         yield from counts.items()
 
-    counted = map_batches(docs.select(text_col), each, pa.schema([("term", pa.int64()), ("n", pa.int64())]), "term long, n long")
+    counted = map_batches(texts, each, pa.schema([("term", pa.int64()), ("n", pa.int64())]), "term long, n long")
     return counted.groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing(docs: DataFrame, held: DataFrame, text_col: str, generalise: float, remove: float) -> DataFrame:
-    """__row, __terms (map of term hash to whether it is removed) for rows of ``held`` with terms that reveal their entities."""
-    entries = held.select("__row", F.explode("__entities").alias("entity"))
-    entities = entries.groupBy("entity").agg(F.count("*").alias("n_e"))
-    counts = cut(_pairs(held.select("__row", F.col(text_col).alias("text"), F.col("__entities").alias("entities"))))
-    n = docs.count()
-    ratio = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t")))
-    enough = (F.col("__ic") > 0) & (ratio >= generalise * F.col("__ic"))
-    # A term is in no fewer documents than in those with entities; pairs too weak even then drop out early.
-    least = counts.where("entity is null").select("term", F.col("n_et").alias("n_t"))
-    pairs = cut(
-        counts.where("entity is not null")
-        .join(entities, "entity")
-        .withColumn("__ic", F.log2(F.lit(float(max(n, 1))) / F.col("n_e")))  # equals the ratio to the last bit where n_et = n_t
-        .join(least, "term")
-        .where(enough)
-        .drop("n_t")
-    )
-    counted = _term_counts(docs, text_col, pairs.select("term"))
-    revealed = pairs.join(counted, "term").where(enough).select("entity", "term", (ratio >= remove * F.col("__ic")).alias("gone"))
-    return entries.join(revealed, "entity").groupBy("__row", "term").agg(F.max("gone").alias("gone")).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("__terms"))
+def disclosing(shelf: Shelf, texts: DataFrame, held: DataFrame, generalise: float, remove: float) -> DataFrame:
+    """row, terms (map of term hash to whether it is removed) for rows of ``held`` with terms that reveal their entities.
+
+    A pair passes only if n_et / n_t >= (n_e / N) ** (1 - generalise), and n_et <= n_e, so n_t is at most
+    n_e * (N / n_e) ** (1 - generalise). Terms above that bound leave each text before any pair is made. Entities that
+    are in the same documents have the same ratios with every term; they count as one.
+    """
+    n = float(texts.count())
+    with_entities = held.where(F.size("entities") > 0)
+    entries = with_entities.select("row", F.explode("entities").alias("entity"))
+    # Which documents hold an entity: their number and two hashes, 128 bits, of the set of them.
+    sets = shelf.put(entries.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("row")).alias("c1"), F.bit_xor(F.xxhash64(F.lit("2"), "row")).alias("c2")))
+    most_terms = F.col("n_e") * F.pow(F.lit(n) / F.col("n_e"), F.lit(1 - generalise)) * (1 + 1e-9)
+    classes = shelf.put(entries.join(sets, "entity").where(F.col("n_e") < n).select("row", "c1", "c2", "n_e", most_terms.alias("most")).distinct())
+    rows = classes.groupBy("row").agg(F.max("most").alias("row_most"))
+
+    def each(batch: pa.RecordBatch) -> Iterable[tuple]:
+        for row, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+            for t in term_hashes(text):
+                yield row, t
+
+    terms = shelf.put(map_batches(with_entities.select("row", "text"), each, pa.schema([("row", pa.int64()), ("term", pa.int64())]), "row long, term long"))
+    # A term is in no fewer documents than in those with entities.
+    least = shelf.put(terms.groupBy("term").agg(F.count("*").alias("least")))
+    rare = shelf.put(terms.join(least, "term").join(rows, "row").where("least <= row_most").select("row", "term"))
+    counted = shelf.put(_term_counts(texts, rare.select("term").distinct()))
+    pairs = shelf.put(rare.join(counted, "term").join(classes, "row").where("n_t <= most").select("row", "term", "n_t", "c1", "c2", "n_e"))
+    shelf.drop(sets, classes, terms, least, rare, counted)
+    ic = F.log2(F.lit(max(n, 1.0)) / F.col("n_e"))  # equals the ratio to the last bit where n_et = n_t
+    ratio = F.log2(F.col("n_et") * F.lit(n) / (F.col("n_e") * F.col("n_t")))
+    seen = pairs.groupBy("c1", "c2", "n_e", "term", "n_t").agg(F.count("*").alias("n_et"))
+    revealed = shelf.put(seen.where(ratio >= generalise * ic).select("c1", "c2", "term", (ratio >= remove * ic).alias("gone")))
+    found = shelf.put(pairs.join(revealed, ["c1", "c2", "term"]).groupBy("row", "term").agg(F.max("gone").alias("gone")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("terms")))
+    shelf.drop(pairs, revealed)
+    return found
 
 
 def _found(docs: DataFrame, text_col: str, generalise: float, remove: float) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs`` that hold nothing, and the others with their base spans and __terms."""
-    may = F.coalesce(F.col(text_col).rlike(MAY_HOLD), F.lit(False))
-    held = cut(_with_base(docs.where(may), text_col)).withColumn("__row", F.monotonically_increasing_id())
-    terms = disclosing(docs, held.where(F.size("__entities") > 0), text_col, generalise, remove)
-    return docs.where(~may), held.join(terms, "__row", "left")
+    """Rows of ``docs`` (doc, text) that hold nothing, and the others with their base spans and terms."""
+    shelf = Shelf(docs.sparkSession, "pii")
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    may = F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False))
+    held = shelf.put(_with_base(rows.where(may)).withColumn("row", F.monotonically_increasing_id()))
+    terms = disclosing(shelf, rows.select("text"), held, generalise, remove)
+    return rows.where(~may), held.join(terms, "row", "left")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base (spans as text), spans (all, as text).
 
     Spans are kind:start:end in code points, end exclusive. Null and empty texts have none. Repeated rows each give
-    a row and each count as a document; null ids pass through; other columns are ignored.
+    a row and each count as a document; null ids pass through; other columns are ignored; an empty table gives an
+    empty result.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    without, held = _found(docs, "text", generalise, remove)
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    without, held = _found(narrow, "text", generalise, remove)
 
     def each(batch: pa.RecordBatch) -> Iterable[tuple]:
-        for i, text, terms in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2].to_pylist(), strict=True):
-            base = base_spans(text)
-            yield i, listed(sorted([*base, *term_spans(text, dict(terms), base)]))
+        for text, terms, base, i, *counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            spans = base_spans(text) if terms else []
+            yield i, *counts, base, listed(sorted([*spans, *term_spans(text, dict(terms), spans)])) if terms else base
 
     names = [f"n_{k}" for k in KINDS]
-    plain = held.where("__terms is null").select("doc_id", *(F.col(f"__n{k}").alias(x) for k, x in enumerate(names)), F.col("__spans").alias("base"), F.col("__spans").alias("spans"))
-    more = held.where("__terms is not null")
-    schema = pa.schema([("r", pa.int64()), ("s", pa.string())])
-    spans = map_batches(more.select("__row", "text", "__terms"), each, schema, "r long, s string")
-    revealed = more.join(spans, F.col("__row") == F.col("r")).select("doc_id", *(F.col(f"__n{k}").alias(x) for k, x in enumerate(names)), F.col("__spans").alias("base"), F.col("s").alias("spans"))
-    nothing = without.select("doc_id", *(F.lit(0).cast("long").alias(x) for x in names), F.lit("").alias("base"), F.lit("").alias("spans"))
-    return nothing.unionByName(plain).unionByName(revealed)
+    schema = pa.schema([("doc_id", _arrow_type(narrow)), *((x, pa.int64()) for x in names), ("base", pa.string()), ("spans", pa.string())])
+    shown = held.select("text", "terms", "base", "doc.doc_id", *(f"n{k}" for k in range(4)))
+    kinds = T.StructType([narrow.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in names), T.StructField("base", T.StringType()), T.StructField("spans", T.StringType())])
+    nothing = without.select("doc.doc_id", *(F.lit(0).cast("long").alias(x) for x in names), F.lit("").alias("base"), F.lit("").alias("spans"))
+    return nothing.unionByName(map_batches(shown, each, schema, kinds))
+
+
+def _arrow_type(docs: DataFrame) -> pa.DataType:
+    return to_arrow_type(docs.schema["doc_id"].dataType)
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """``docs`` with sanitised texts; all rows and columns stay. Null and empty texts stay as they are."""
+    """``docs`` with sanitised texts; all rows and columns stay, whatever the columns are called.
+
+    Null and empty texts stay as they are. Repeated rows each count as a document and get the same text. An empty
+    table stays empty.
+    """
     without, held = _found(docs, text_col, generalise, remove)
-    columns, at = docs.columns, docs.columns.index(text_col)
-    schema = docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, terms in zip(batch[at].to_pylist(), batch[len(columns)].to_pylist(), strict=True):
-                base = base_spans(text)
-                texts.append(sanitised(text, base, dict(terms or [])) if base else text)
-            kept = [texts if k == at else c for k, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) if k == at else c for k, c in enumerate(kept)], names=columns)
-
-    return without.unionByName(held.select(*columns, "__terms").mapInArrow(run, schema))
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = []
+        for text, terms in zip(batch[1].to_pylist(), batch[2].to_pylist(), strict=True):
+            base = base_spans(text)
+            texts.append(sanitised(text, base, dict(terms or [])) if base else text)
+        return pa.RecordBatch.from_arrays([batch[0], pa.array(texts, pa.string())], names=["doc", "text"])
+
+    shown = held.select("doc", "text", "terms")
+    done = map_arrow(shown, each, T.StructType(shown.schema.fields[:2]))
+    return without.unionByName(done).select(*(F.col("text").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows that are worked on at once. Texts differ widely in length, so a batch of Spark's (64 MB at most) is sliced.
@@ -50,6 +53,22 @@ def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, BATCH_ROWS)
 
 
+def bit_filter(positions: DataFrame, bits: int) -> Broadcast:
+    """A broadcast filter of ``bits`` bits, set at ``positions`` (b, from 0 to bits - 1), for ``in_filter``.
+
+    At most bits / 32 rows come to the driver, whatever the number of positions.
+    """
+    words = positions.groupBy(F.floor(F.col("b") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("bits"))
+    filled = np.zeros(bits // 32, "<u4")
+    for word, x in words.collect():
+        filled[word] = x
+    return positions.sparkSession.sparkContext.broadcast(filled.view(np.uint8))
+
+
+def in_filter(filled: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    return (filled[positions >> 3] >> (positions & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(column, type=field.type) for column, field in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexigrove.llm.common import OUT_ROWS, Memo, map_arrow, map_batches, packed
+from lexigrove.llm.common import OUT_ROWS, Memo, bit_filter, in_filter, map_arrow, map_batches, packed
 from lexigrove.session import Shelf
 
 #: Words of a shingle; the threshold in hundredths.
@@ -239,17 +239,12 @@ def indexed(rows: DataFrame, percent: int) -> DataFrame:
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """rid, set of the rows whose rid is in ``wanted`` (and of a few others)."""
-    bits = wanted.select(F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS)).alias("b")).groupBy(F.floor(F.col("b") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("bits"))
-    filled = np.zeros(FILTER_BITS // 32, "<u4")
-    for word, x in bits.collect():  # at most FILTER_BITS / 32 rows
-        filled[word] = x
-    there = rows.sparkSession.sparkContext.broadcast(np.unpackbits(filled.view("u1"), bitorder="little").tobytes())
+    there = bit_filter(wanted.select(F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS)).alias("b")), FILTER_BITS)
 
     def each(batch: pa.RecordBatch) -> Iterable[tuple]:
-        known = there.value
-        for rid, text, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if known[b]:
-                yield rid, shingles(text).tobytes()
+        known = in_filter(there.value, batch[2].to_numpy(zero_copy_only=False))
+        for k in np.flatnonzero(known).tolist():
+            yield batch[0][k].as_py(), shingles(batch[1][k].as_py()).tobytes()
 
     hashed = rows.select("rid", "text", F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS)).alias("b"))
     return map_batches(hashed, each, *_longs("rid", (("set", pa.binary(), "binary"),)))

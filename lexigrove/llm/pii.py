@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lexigrove.llm.common import map_arrow, map_batches
+from lexigrove.llm.common import Memo, bit_filter, in_filter, map_arrow, map_batches
 from lexigrove.session import Shelf
 
 #: Kinds in the order in which spans that start together are listed.
@@ -83,8 +83,11 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
+_hashes = Memo(_hash)
+
+
 def term_hashes(text: str) -> set[int]:
-    return {_hash(t) for t in set(TERM.findall(text.lower()))}
+    return {_hashes[t] for t in set(TERM.findall(text.lower()))}
 
 
 def term_spans(text: str, terms: dict[int, bool], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -133,22 +136,13 @@ def _with_base(rows: DataFrame) -> DataFrame:
 
 def _term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """n_t over all of ``texts``, for ``terms`` and a few others that the fixed-size filter lets through."""
-    bits = terms.select(F.pmod("term", F.lit(FILTER_BITS)).alias("b")).groupBy(F.floor(F.col("b") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("bits"))
-    filled = np.zeros(FILTER_BITS // 32, "<u4")
-    for word, x in bits.collect():  # at most FILTER_BITS / 32 rows
-        filled[word] = x
-    there = texts.sparkSession.sparkContext.broadcast(np.unpackbits(filled.view("u1"), bitorder="little").astype(bool).tobytes())
+    there = bit_filter(terms.select(F.pmod("term", F.lit(FILTER_BITS)).alias("b")), FILTER_BITS)
 
     def each(batch: pa.RecordBatch) -> Iterable[tuple]:
-        known = there.value
-        counts: dict[int, int] = {}
-        for text in batch[0].to_pylist():
-            if text:
-                for word in set(TERM.findall(text.lower())):
-                    t = _hash(word)
-                    if known[t % FILTER_BITS]:
-                        counts[t] = counts.get(t, 0) + 1
-        yield from counts.items()
+        found = [np.fromiter(term_hashes(text), np.int64) for text in batch[0].to_pylist() if text]
+        terms, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+        known = in_filter(there.value, terms % FILTER_BITS)
+        yield from zip(terms[known].tolist(), counts[known].tolist(), strict=True)
 
     counted = map_batches(texts, each, pa.schema([("term", pa.int64()), ("n", pa.int64())]), "term long, n long")
     return counted.groupBy("term").agg(F.sum("n").alias("n_t"))

@@ -58,6 +58,23 @@ def test_exact_groups(spark):
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
 
 
+def test_what_is_put_in_front_moves_no_other_chunk(spark):
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(20_000))
+    docs = spark.createDataFrame([(1, text), (2, "x" * 500 + text), (3, "some words in front " + text)], "doc_id long, text string")
+    chunks = {r.doc_id: [bytes(c.digest) for c in r.chunks] for r in exact_dedup.recipes(docs, "doc_id", "text", exact_dedup.CHUNK_WORDS).collect()}
+    assert 100 < len(chunks[1]) < 250
+    assert len(set(chunks[1]) & set(chunks[2])) >= len(chunks[1]) - 1 and len(set(chunks[1]) & set(chunks[3])) >= len(chunks[1]) - 1
+
+
+def test_copies_with_clashing_columns(spark):
+    rows = [(1, "a", 0, "p"), (2, "a", 1, "q"), (3, None, 2, "r"), (4, "", 3, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __kept_id int, sha string")
+    left = exact_dedup.drop_copies(docs)
+    assert left.columns == docs.columns and sorted(tuple(r) for r in left.collect()) == [rows[1], rows[3]]
+    assert exact_dedup.drop_copies(docs.limit(0)).count() == 0
+
+
 def plain_rule(host, path):
     fits = [(len(h) + len(p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits)[1:] if fits else (None, None)

@@ -64,7 +64,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_words = Memo(xxhash.xxh3_64_intdigest)
+_words = Memo(xxhash.xxh3_64_intdigest, 100_000)
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:

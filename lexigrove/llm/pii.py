@@ -83,7 +83,7 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-_hashes = Memo(_hash)
+_hashes = Memo(_hash, 100_000)
 
 
 def term_hashes(text: str) -> set[int]:

@@ -47,7 +47,7 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(plain) if plain else 0
 
 
-_words = Memo(word_hash)
+_words = Memo(word_hash, 100_000)
 
 
 def _shifted(x: np.ndarray, k: int) -> np.ndarray:

@@ -17,6 +17,8 @@ from lexigrove.session import Shelf
 
 #: Words of a chunk on average. A text without blanks is one chunk.
 CHUNK_WORDS = 128
+#: So many keys of dropped rows (about 100 bytes each) are broadcast at most; more are joined by a shuffle of the rows.
+BROADCAST_ROWS = 500_000
 
 
 def recipes(docs: DataFrame, id_col: str, text_col: str, mean: int) -> DataFrame:
@@ -61,7 +63,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shelf.drop(decided)
     rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col(id_col).alias("own_id"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("own_sha"))
     same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_sha") == F.col("sha"))
-    left = rows.join(gone, same, "left_anti")
+    left = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti")
     if not again.isEmpty():
         left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["own_id", "own_sha"]))
     return left.select("row.*")

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from lexigrove.llm.common import Memo, map_batches
-from lexigrove.session import cut
+from lexigrove.session import Shelf
 
 #: Tokens of a sequence, and the id that ends each document.
 CAPACITY, END_ID = 2048, 0
@@ -167,28 +167,34 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
     """``pieces`` (length between 1 and ``capacity``) with sequence_id and offset; offsets have no gaps.
 
     ``order`` only decides which of equally long pieces goes where; ties and nulls in it do no harm. An empty table
-    gives an empty result. The driver gets counts by length, at most ``capacity`` rows.
+    gives an empty result; other columns pass through, but for older ones named sequence_id or offset. The driver gets counts by length, at most ``capacity`` rows.
     """
     spark = pieces.sparkSession
-    pieces = cut(pieces)
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    shelf = Shelf(spark, "packing")
+    rows = shelf.put(pieces.select(F.struct(*(F.col(c) for c in pieces.columns)).alias("piece"), F.col("length").cast("long").alias("n")))
+    counts = {r["n"]: r["c"] for r in rows.groupBy("n").agg(F.count("*").alias("c")).collect()}
     each = max(GROUP_ROWS, sum(counts.values()) // GROUPS)
-    groups = spark.createDataFrame([(n, -(-c // each)) for n, c in counts.items()], "length long, __groups long")
-    dealt = pieces.join(F.broadcast(groups), "length").withColumn("__group", F.pmod(F.xxhash64(*order), "__groups")).drop("__groups")
-    sizes = dealt.groupBy("length", "__group").agg(F.count("*").alias("n")).collect()  # at most GROUPS + capacity rows
+    groups = spark.createDataFrame([(n, -(-c // each)) for n, c in counts.items()], "n long, groups long")
+    keys = [F.col("piece").getField(c) for c in order]
+    dealt = rows.join(F.broadcast(groups), "n").withColumn("group", F.pmod(F.xxhash64(*keys), "groups")).drop("groups")
+    sizes = dealt.groupBy("n", "group").agg(F.count("*").alias("c")).collect()  # at most GROUPS + capacity rows
     first: list[tuple[int, int, int]] = []
     so_far = dict.fromkeys(counts, 0)
-    for length, group, n in sorted(map(tuple, sizes)):
-        first.append((length, group, so_far[length]))
-        so_far[length] += n
-    firsts = spark.createDataFrame(first, "length long, __group long, __first long")
-    there = spark.createDataFrame(places(counts, capacity), "length long, __from long, __to long, __k long, __sequence long, __offset long")
-    within = Window.partitionBy("length", "__group").orderBy(*order)
+    for n, group, c in sorted(map(tuple, sizes)):
+        first.append((n, group, so_far[n]))
+        so_far[n] += c
+    firsts = spark.createDataFrame(first, "n long, group long, first long")
+    there = spark.createDataFrame(places(counts, capacity), "m long, from long, to long, k long, sequence long, offset long")
+    within = Window.partitionBy("n", "group").orderBy(*keys)
     return (
-        dealt.withColumn("__rank", F.row_number().over(within) - 1)
-        .join(F.broadcast(firsts), ["length", "__group"])
-        .withColumn("__rank", F.col("__rank") + F.col("__first"))
-        .join(F.broadcast(there.withColumnRenamed("length", "__length")), (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
-        .withColumn("__at", F.col("__rank") - F.col("__from"))
-        .select(*pieces.columns, (F.col("__sequence") + F.floor(F.col("__at") / F.col("__k"))).cast("long").alias("sequence_id"), (F.col("__offset") + F.col("__at") % F.col("__k") * F.col("length")).alias("offset"))
+        dealt.withColumn("rank", F.row_number().over(within) - 1)
+        .join(F.broadcast(firsts), ["n", "group"])
+        .withColumn("rank", F.col("rank") + F.col("first"))
+        .join(F.broadcast(there), (F.col("n") == F.col("m")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")))
+        .withColumn("at", F.col("rank") - F.col("from"))
+        .select(
+            *(F.col("piece").getField(c).alias(c) for c in pieces.columns if c not in ("sequence_id", "offset")),
+            (F.col("sequence") + F.floor(F.col("at") / F.col("k"))).cast("long").alias("sequence_id"),
+            (F.col("offset") + F.col("at") % F.col("k") * F.col("n")).alias("offset"),
+        )
     )

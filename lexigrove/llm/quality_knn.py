@@ -23,8 +23,6 @@ from lexigrove.llm.common import map_batches
 FEATURES, DIMENSIONS, SAMPLE = 4096, 48, 1500
 #: Neighbours that vote; the power of similarity in a vote's weight; documents multiplied at once.
 NEIGHBOURS, POWER, BLOCK = 15, 4.0, 256
-#: The sample holds both labels alike, but label 1 is commoner among documents: its votes count so many times.
-GOOD_WEIGHT = 3.0
 #: Rows whose crc32(id as text) mod FOLDS is 0 are held out; scores from CUTOFF predict label 1.
 FOLDS, CUTOFF = 5, 0.3
 
@@ -38,9 +36,9 @@ def counts(text: str) -> np.ndarray:
     return np.bincount(grams >> np.uint32(20), minlength=FEATURES).astype(np.float32)
 
 
-def features(texts: list[str], idf: np.ndarray) -> np.ndarray:
-    """A unit row for each text, or a row of zeros for an empty one."""
-    x = np.log1p(np.stack([counts(t) for t in texts])) * idf
+def features(counted: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """A unit row for each row of counts, or a row of zeros where there are none."""
+    x = np.log1p(counted) * idf
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(norm > 0, norm, 1)
 
@@ -55,11 +53,15 @@ def held_out(doc_id: int) -> bool:
 
 
 class Voters:
-    """The labelled vectors and the projection that made them."""
+    """The labelled vectors and the projection that made them.
 
-    def __init__(self, texts: list[str], labels: list[int], idf: np.ndarray) -> None:
+    ``share`` is that of label 1 among all labelled documents. A sample that holds both labels alike lets each vote of
+    label 1 count as many times more as label 1 is commoner.
+    """
+
+    def __init__(self, counted: list[np.ndarray], labels: list[int], idf: np.ndarray, share: float) -> None:
         self.idf, self.labels = idf.astype(np.float32), np.asarray(labels, np.float32)
-        x = features(texts, self.idf) if texts else np.zeros((0, FEATURES), np.float32)
+        x = features(np.stack(counted), self.idf) if counted else np.zeros((0, FEATURES), np.float32)
         self.mean = x.mean(axis=0) if len(x) else np.zeros(FEATURES, np.float32)
         centred = x - self.mean
         values, vectors = np.linalg.eigh(centred @ centred.T) if len(x) else (np.zeros(0), np.zeros((0, 0)))
@@ -67,35 +69,55 @@ class Voters:
         top = top[values[top] > 1e-9] if len(top) else top
         self.axes = (centred.T @ vectors[:, top] / np.sqrt(values[top])).astype(np.float32) if len(top) else np.zeros((FEATURES, 1), np.float32)
         self.vectors = unit(centred @ self.axes) if len(x) else np.zeros((0, self.axes.shape[1]), np.float32)
-        self.vote = np.where(self.labels == 1, np.float32(GOOD_WEIGHT), np.float32(1))
+        n = np.array([(self.labels == q).sum() for q in (0, 1)])
+        weight = share / (1 - share) * n[0] / n[1] if n.all() and 0 < share < 1 else 1.0
+        self.vote = np.where(self.labels == 1, np.float32(weight), np.float32(1))
         self.prior = float((self.vote * self.labels).sum() / self.vote.sum()) if len(labels) else 0.5
 
     def score(self, texts: list[str]) -> list[float]:
-        """Weighted share of label 1 among the nearest; without a similar voter the share of all."""
+        """Weighted share of label 1 among the nearest; without a similar voter the share of all.
+
+        Of equally near voters beyond the last place, those with the least ids vote.
+        """
         if not len(self.labels):
             return [self.prior] * len(texts)
         out = []
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(texts), BLOCK):
-            x = features(texts[at : at + BLOCK], self.idf)
+            x = features(np.stack([counts(t) for t in texts[at : at + BLOCK]]), self.idf)
             empty = ~x.any(axis=1)
             cosines = unit((x - self.mean) @ self.axes) @ self.vectors.T
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            weight = np.clip(np.take_along_axis(cosines, near, 1), 0, None) ** POWER * self.vote[near]
+            last = -np.partition(-cosines, k - 1, axis=1)[:, k - 1 : k]
+            nearer, level = cosines > last, cosines == last
+            near = nearer | (level & (np.cumsum(level, axis=1) <= k - nearer.sum(axis=1, keepdims=True)))
+            weight = np.where(near, np.clip(cosines, 0, None) ** POWER * self.vote, 0)
             total = weight.sum(axis=1)
-            score = np.where(total > 0, (weight * self.labels[near]).sum(axis=1) / np.where(total > 0, total, 1), self.prior)
+            score = np.where(total > 0, (weight * self.labels).sum(axis=1) / np.where(total > 0, total, 1), self.prior)
             out += np.where(empty, self.prior, np.clip(score, 0, 1)).round(6).tolist()
         return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, size: int) -> list[tuple[int, str, int]]:
-    """At most ``size`` labelled rows of each label outside the held-out fold, by the hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, size: int) -> tuple[list[tuple[int, int, bytes]], float]:
+    """Id, label and counts of at most ``size`` labelled documents of each label outside the held-out fold, chosen by the
+    hash of the id, and the share of label 1 among all labelled ones outside it.
+
+    A document labelled both 0 and 1 counts as 1. Of rows that share an id, one (with the greatest counts) is taken; so
+    at most 2 * size rows of FEATURES 16-bit numbers come to the driver, no texts.
+    """
     usable = labels.where("quality in (0, 1) and doc_id is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) != 0)
+    usable = usable.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    share = usable.agg(F.avg("quality")).first()[0]
     order = [F.xxhash64("doc_id"), "doc_id"]
-    picked = [usable.where(F.col("quality") == q).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(*order).limit(size) for q in (0, 1)]
+    picked = [usable.where(F.col("quality") == q).orderBy(*order).limit(size) for q in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]).withColumnRenamed("doc_id", "__id"))
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(ids, F.col("__doc") == F.col("__id"))
-    return sorted((r["__doc"], r["__text"] or "", int(r["quality"])) for r in rows.collect())
+
+    def each(batch: pa.RecordBatch) -> Iterable[tuple]:
+        for i, q, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield i, q, np.minimum(counts(text or ""), 65535).astype("<u2").tobytes()
+
+    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).join(ids, F.col("__doc") == F.col("__id"))
+    counted = map_batches(rows.select(F.col("__doc").cast("long"), "quality", "__text"), each, pa.schema([("i", pa.int64()), ("q", pa.int32()), ("c", pa.binary())]), "i long, q int, c binary")
+    return sorted(map(tuple, counted.groupBy("i", "q").agg(F.max("c")).collect())), 0.5 if share is None else float(share)
 
 
 def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
@@ -123,11 +145,13 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     Null and empty texts get the weighted share of label 1 in the sample. A null id is not held out. Repeated rows
-    each give a row; other columns are ignored; without labels every score is 0.5; an empty table gives an empty result.
+    each give a row; other columns are ignored, whatever their names; without labels every score is 0.5; an empty table
+    gives an empty result. Ties between neighbours and doubly labelled documents: see ``Voters.score`` and ``sample``.
     """
     df, n = document_frequencies(docs, text_col)
-    picked = sample(docs, labels, id_col, text_col, size)
-    voters = docs.sparkSession.sparkContext.broadcast(Voters([t for _, t, _ in picked], [q for *_, q in picked], np.log((1 + n) / (1 + df)) + 0.1))
+    picked, share = sample(docs, labels, id_col, text_col, size)
+    counted = [np.frombuffer(c, "<u2").astype(np.float32) for *_, c in picked]
+    voters = docs.sparkSession.sparkContext.broadcast(Voters(counted, [q for _, q, _ in picked], np.log((1 + n) / (1 + df)) + 0.1, share))
 
     def each(batch: pa.RecordBatch) -> Iterable[tuple]:
         ids = batch[0].to_pylist()

@@ -2,7 +2,8 @@
 
 A rule decides the URLs it fits. For the others, two smoothed variable-order Markov models, one of accepted and one
 of rejected URLs, give the log-likelihood of each character after the longest known context; the difference,
-divided by the length, is compared with a threshold calibrated on the URLs that rules decide.
+divided by the length, is compared with a threshold. The models learn from four fifths of the URLs that rules decide, by
+hash, and the threshold is calibrated on the other fifth.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.session import cut
+from lexigrove.session import Shelf
 
 #: Fixed values: (allow or block, host, path).
 RULES = (
@@ -26,6 +27,10 @@ ORDER, SMOOTHING = 4, 2.0
 ALPHABET = 128.0
 #: A URL is rejected if its score is so many standard deviations under that of accepted ones.
 SPREADS = 1.645
+#: URLs whose crc32 mod FOLDS is 0 calibrate the threshold; the models don't see them.
+FOLDS = 5
+#: So many grams (about 50 bytes each) are broadcast at most; a larger model is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Stands before a URL's first characters.
 START = "\x02"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -57,7 +62,7 @@ def _grams(pages: DataFrame, *keep: str) -> DataFrame:
     return pages.select(*keep, padded.alias("__p"), F.explode(F.expr("sequence(1, length(__url), 1)")).alias("__i")).select(*keep, F.expr(f"substring(__p, __i, {ORDER + 1})").alias("__gram"))
 
 
-def ratios(pages: DataFrame, order: int = ORDER, smoothing: float = SMOOTHING) -> DataFrame:
+def ratios(shelf: Shelf, pages: DataFrame, order: int = ORDER, smoothing: float = SMOOTHING) -> DataFrame:
     """__gram, __ratio: log p(last character | the ones before) under accepted URLs less that under rejected ones.
 
     Counts of shorter contexts are sums over the longest; p of each order leans on that of the next shorter one.
@@ -67,7 +72,7 @@ def ratios(pages: DataFrame, order: int = ORDER, smoothing: float = SMOOTHING) -
         .groupBy("__gram")
         .agg(*(F.sum(F.when(F.col("__decision") == v, 1.0).otherwise(0.0)).alias(v) for v in ("allow", "block")))
     )
-    table = cut(seen)
+    table = shelf.put(seen)
     out = table.select("__gram")
     p: dict[str, Column] = {"allow": F.lit(1 / ALPHABET), "block": F.lit(1 / ALPHABET)}
     for k in range(order + 1):  # the last k + 1 characters: a context of k and the next one
@@ -85,21 +90,32 @@ def ratios(pages: DataFrame, order: int = ORDER, smoothing: float = SMOOTHING) -
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, score.
 
-    Null URLs and ones without :// have an empty host and path and a score of 0. Each distinct host and path is
-    scored once. The threshold lies SPREADS standard deviations under the mean score of URLs that rules accept, but
-    not nearer to it than to the mean of those that rules reject; without such URLs on both sides it is 0. Repeated rows each give a row; an empty table gives an empty result.
+    Null URLs and ones without :// have an empty host and path and a score of 0. Of rules that fit, the longest (host and
+    path together) decides; of equally long ones, the last in alphabetical order of verdict, host and path. Each distinct
+    host and path is scored once. The threshold lies SPREADS standard deviations under the mean score of held-out URLs
+    that rules accept, but not nearer to it than to the mean of those that rules reject; without such URLs on both sides
+    it is 0. Repeated rows each give a row; other columns are ignored, whatever their names; an empty table gives an
+    empty result.
     """
-    judged = with_rule(pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")), rules).withColumn("__url", F.concat("host", "path"))
-    distinct = cut(judged.groupBy("host", "path", "__url", "__rule", "__decision").agg(F.count("*").alias("__n")))
-    spread = distinct.withColumn("__id", F.monotonically_increasing_id())
-    model = cut(ratios(distinct))
-    scores = _grams(spread.where("length(__url) > 0"), "__id").join(model, "__gram").groupBy("__id").agg(F.avg("__ratio").alias("score"))
-    scored = cut(spread.join(scores, "__id", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9)))
-    known = {r[0]: r for r in scored.where("__decision is not null").groupBy("__decision").agg(F.avg("score"), F.stddev_pop("score")).collect()}
+    shelf = Shelf(pages.sparkSession, "url-filter")
+    parted = with_rule(pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")), rules).withColumn("__url", F.concat("host", "path"))
+    distinct = shelf.put(parted.groupBy("host", "path", "__url", "__rule", "__decision").agg(F.count("*").alias("__n")).withColumn("__id", F.monotonically_increasing_id()))
+    held_out = F.pmod(F.crc32("__url"), F.lit(FOLDS)) == 0
+    # Grams of all URLs are in the model, those of URLs beside the training ones with counts of 0 and shorter contexts.
+    model = shelf.put(ratios(shelf, distinct.withColumn("__decision", F.when(~held_out, F.col("__decision")))))
+    size = model.count()
+    grams = _grams(distinct.where("length(__url) > 0"), "__id")
+    scores = grams.join(F.broadcast(model) if size <= BROADCAST_ROWS else model, "__gram").groupBy("__id").agg(F.avg("__ratio").alias("score"))
+    scored = shelf.put(distinct.join(scores, "__id", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9)))
+    known = {r[0]: r for r in scored.where("__decision is not null").where(held_out).groupBy("__decision").agg(F.avg("score"), F.stddev_pop("score")).collect()}
     threshold = 0.0
     if len(known) == 2:
         (_, good, spread_), (_, bad, _) = known["allow"], known["block"]
         threshold = round(min((good + bad) / 2, good - SPREADS * spread_), 6)
     verdict = F.coalesce("__decision", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
-    decided = scored.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("__rule").alias("rule"), verdict.alias("verdict"), "score")
-    return judged.select("page_id", "host", "path").join(decided, (F.col("host") == F.col("__h")) & (F.col("path") == F.col("__p"))).select("page_id", "host", "path", "rule", "verdict", "score")
+    # A plain table: so Spark splits a popular URL between tasks. What has neither host nor path needs no join.
+    decided = shelf.put(scored.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("__rule").alias("rule"), verdict.alias("verdict"), "score"))
+    shown = ("page_id", "host", "path", "rule", "verdict", "score")
+    joined = parted.select("page_id", "host", "path").where("__url <> ''").join(decided, (F.col("host") == F.col("__h")) & (F.col("path") == F.col("__p"))).select(*shown)
+    empty = parted.where("__url = ''").select("page_id", "host", "path", F.col("__rule").alias("rule"), F.coalesce("__decision", F.lit("allow" if threshold <= 0 else "block")).alias("verdict"), F.lit(0.0).alias("score"))
+    return joined.unionByName(empty)

@@ -70,3 +70,13 @@ def test_odd_rows(spark):
     assert got == sorted([(3, 2, 3), (7, 2, 3), (7, 2, 3), (5, 0, 5), (6, 0, 6), (8, 0, 8), (None, 2, 3), (None, 1, None), (9, 1, 9)], key=str)
     assert j.groups(docs.limit(0)).count() == 0
     assert sorted(str(r.doc_id) for r in j.keep_one(docs).collect()) == ["3", "5", "6", "8", "9", "None"]
+
+
+def test_clashing_columns_and_long_texts(spark):
+    rng = random.Random(2)
+    long = words(rng, 60_000)
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:30_000], "odd", *long[30_000:]])), (3, " ".join(long[:200]))]
+    docs = spark.createDataFrame([(i, t, "r", 7, "x") for i, t in rows], "doc_id long, text string, rid string, gone int, row string")
+    kept = j.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.rid, r.gone, r.row) for r in kept.collect()) == [(1, "r", 7, "x"), (3, "r", 7, "x")]
+    assert j.keep_one(docs.limit(0)).count() == 0

@@ -83,6 +83,16 @@ def test_tables_with_nulls_and_clashing_columns(spark):
     assert pii.find(docs.limit(0)).count() == secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_sanitised_tables_keep_rows_and_clashing_columns(spark):
+    rows = [(i, t, "s", 1, "d") for i, t in ROWS]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, row int, doc string")
+    clean = pii.sanitise(docs)
+    assert clean.columns == docs.columns and len(out := clean.collect()) == len(rows)
+    assert {(r.spans, r.row, r.doc) for r in out} == {("s", 1, "d")}
+    assert next(r.text for r in out if r.doc_id == 5).endswith(" [CARD]") and [r.text for r in out if r.doc_id in (2, 3)] in ([None, ""], ["", None])
+    assert pii.sanitise(docs.limit(0)).count() == 0
+
+
 def test_terms_that_reveal_an_entity(spark):
     texts = ["Wobblington writes from bob@example.com about cheese"] * 4 + ["cheese about writes from someone"] * 30
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

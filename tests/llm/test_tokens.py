@@ -95,3 +95,10 @@ def test_packed_table(spark):
     assert len(bins) <= -(-total // 2048) + 1
     assert packing.pack(packing.pieces(docs.limit(0), WORD)).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_packing_keeps_clashing_columns(spark):
+    pieces = spark.createDataFrame([(i, 0, 1 + i % 7, "g", 5, 6) for i in range(50)], "doc_id long, piece int, length int, group string, rank int, n int")
+    packed = packing.pack(pieces, 10)
+    assert packed.columns == [*pieces.columns, "sequence_id", "offset"]
+    assert sorted(tuple(r)[:6] for r in packed.collect()) == sorted(map(tuple, pieces.collect()))

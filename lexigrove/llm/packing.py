@@ -50,14 +50,21 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = {t: array("I", [self.tokenizer.token_to_id(t)]).tobytes() for t in added}
         self.cut_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")")
         self.word = Memo(self._word)
         self.run = Memo(self._run)
 
+    def _encoded(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _word(self, word: str) -> bytes:
-        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        """A word as WORDS cuts it. The model alone does for ASCII letters, which the normaliser leaves as they are."""
+        if word.isascii() and word.isalpha():
+            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return self._encoded(word)
 
     def _run(self, run: str) -> bytes:
         if run.isalpha():  # one word
@@ -68,7 +75,7 @@ class WordIds:
 
     def _plain(self, text: str) -> bytes:
         if self.SEPARATORS.search(text):
-            return self._word(text)
+            return self._encoded(text)
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # Lower-casing goes by single characters: no final sigma.

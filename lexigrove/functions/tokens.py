@@ -7,6 +7,8 @@ of their first two characters is a digit. Tags are tokens of their own: <name> a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ RUN = f"[A-Za-z0-9]{{1,{LONGEST}}}"
 MARKUP = rf"<(/?[A-Za-z0-9!]+)(?:[^<>]*>)?|({RUN})"
 
 
+def long_number(token: str) -> bool:
+    """The opposite of no_number(), for one string."""
+    return re.match("^.?[0-9]", token) is not None and (len(token) > 8 or len(token) > 7 and token[0] > "1")
+
+
 def no_number(token: Column) -> Column:
     """False for numbers that are too long to be tokens."""
     return ~(token.rlike("^.?[0-9]") & ((F.length(token) > 8) | ((F.length(token) > 7) & (F.substring(token, 1, 1) > "1"))))

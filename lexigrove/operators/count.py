@@ -22,9 +22,10 @@ def count(engine: Engine, *queries: str) -> DataFrame:
 
 
 def documents_containing(engine: Engine, *queries: str) -> DataFrame:
-    """query, df: in how many documents each expression matches."""
+    """query, df: in how many documents each expression matches; 0 where it has no match."""
     lists = [engine.query(q).select(F.lit(q).alias("query"), "doc_id").distinct() for q in queries]
-    return reduce(DataFrame.unionByName, lists).groupBy("query").agg(F.count("*").alias("df"))
+    names = engine.corpus.docs.sparkSession.createDataFrame([(q,) for q in queries], "query string")
+    return names.join(reduce(DataFrame.unionByName, lists).groupBy("query").agg(F.count("*").alias("df")), "query", "left").fillna(0, ["df"])
 
 
 def histogram(engine: Engine, query: str, longest: int = 24) -> DataFrame:

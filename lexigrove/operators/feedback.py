@@ -69,14 +69,19 @@ def _ln_choose(n: Column, k: Column) -> Column:
 def expand(engine: Engine, query: list[Scorer], relevant: DataFrame, method: str = "okapi", terms: int = TERMS, weight: float = WEIGHT, few: bool = True) -> list[Scorer]:
     """``query`` with at most ``terms`` new scorers; terms with a query term's stem are none, nor are stopwords."""
     have = {stem(s.text.strip('"$')) for s in query}
-    chosen = term_scores(engine.corpus, relevant, method, few).where("length(term) > 1").orderBy(F.desc("score"), "term").limit(terms + len(have) * 8 + 100).collect()
-    fresh: list[Scorer] = []
-    for row in chosen:
-        s = stem(row["term"])
-        if s not in have and row["term"] not in STOPWORDS["en"] and not row["term"].startswith("<") and len(fresh) < terms:
-            have.add(s)
-            fresh.append(Scorer(f'"{row["term"]}"', max(0.0, float(row["weight"])) * weight))
-    return [*query, *fresh]
+    scored = term_scores(engine.corpus, relevant, method, few).where("length(term) > 1").where(~F.col("term").startswith("<") & ~F.col("term").isin(*STOPWORDS["en"])).orderBy(F.desc("score"), "term")
+    asked, chosen = terms + len(have), []
+    while True:  # stems drop some: ask for more until there are enough or no more
+        fresh: dict[str, Scorer] = {}
+        chosen = scored.limit(asked).collect()
+        for row in chosen:
+            s = stem(row["term"])
+            if s not in have and len(fresh) < terms:
+                fresh.setdefault(s, Scorer(f'"{row["term"]}"', max(0.0, float(row["weight"])) * weight))
+        if len(fresh) >= terms or len(chosen) < asked:
+            break
+        asked *= 4
+    return [*query, *fresh.values()]
 
 
 def pseudo_feedback(engine: Engine, query: str, method: str = "okapi", docs: int = DOCS, terms: int = TERMS, weight: float = WEIGHT, count: int = 20) -> DataFrame:
@@ -84,7 +89,7 @@ def pseudo_feedback(engine: Engine, query: str, method: str = "okapi", docs: int
     first = Ranking(engine, query)
     best = first.rank(bm25(first), docs).select("doc_id")
     second = Ranking(engine, expand(engine, first.scorers, best, method, terms, weight))
-    return second.rank(bm25(second), count)
+    return second.rank(bm25(second, original=first.n), count)
 
 
 def relevance_feedback(engine: Engine, query: str, qrels: DataFrame, method: str = "okapi", count: int = 20) -> DataFrame:
@@ -92,7 +97,7 @@ def relevance_feedback(engine: Engine, query: str, qrels: DataFrame, method: str
     first = Ranking(engine, query)
     relevant = qrels.where("judgement > 0").select("doc_id")
     second = Ranking(engine, expand(engine, first.scorers, relevant, method, few=False))
-    return second.rank(bm25(second), count)
+    return second.rank(bm25(second, original=first.n), count)
 
 
 def rerank_kld(corpus: Corpus, ranked: DataFrame, best: int = DOCS) -> DataFrame:
@@ -110,13 +115,28 @@ def rerank_kld(corpus: Corpus, ranked: DataFrame, best: int = DOCS) -> DataFrame
     return sums.select("doc_id", F.round(F.when(x < 1, 1 / (2 - x)).otherwise(x), 5).alias("score"))
 
 
-def rerank_bayes(corpus: Corpus, ranked: DataFrame, best: int = DOCS, terms: int = 30) -> DataFrame:
-    """doc_id, score: the score and the mean log-odds of the document's terms under the best documents' model."""
-    ids = F.broadcast(ranked.select("doc_id", F.col("score").alias("old")))
-    top = ranked.orderBy(F.desc("score"), "doc_id").limit(best).select("doc_id")
-    chosen = F.broadcast(term_scores(corpus, top, "kld").orderBy(F.desc("score"), "term").limit(terms).select("term", F.col("score").alias("odds")))
-    mean = corpus.tf_table.join(ids, "doc_id", "left_semi").join(chosen, "term").groupBy("doc_id").agg(F.avg("odds").alias("x"))
-    return ranked.join(mean, "doc_id", "left").select("doc_id", F.round(F.col("score") + F.coalesce("x", F.lit(0.0)), 5).alias("score"))
+def rerank_bayes(r: Ranking, ranked: DataFrame, best: int = DOCS) -> DataFrame:
+    """doc_id, score: the score and the query's weight times the document's share of the greatest probability.
+
+    The best documents are taken as relevant. A term of theirs that is in more than one document of the collection has
+    p = its documents among them / N; one that a document lacks counts with p = 1 / N. The mean of ln(p / (1 - p)) over all
+    these terms, through the logistic function, is the probability. One best document, or one ranked, changes nothing.
+    """
+    corpus, n = r.engine.corpus, F.col("n")
+    ids = F.broadcast(ranked.select("doc_id", F.col("score").alias("old")))  # a ranking
+    top = F.broadcast(ranked.orderBy(F.desc("score"), "doc_id").limit(best).select("doc_id"))
+    known = corpus.lm.where("df > 1").select("term")
+    chosen = corpus.tf_table.join(top, "doc_id", "left_semi").groupBy("term").agg(F.count("*").cast("double").alias("r")).join(known, "term", "left_semi")
+    logit = lambda p: F.ln(p / (1 - p))
+    size = F.broadcast(chosen.agg(F.count("*").cast("double").alias("terms")))
+    held = corpus.tf_table.join(ids, "doc_id").join(chosen, "term").crossJoin(F.broadcast(corpus.stats.select("n")))
+    sums = held.groupBy("doc_id").agg(F.sum(logit(F.col("r") / n) - logit(1 / n)).alias("more"))
+    odds = ids.join(sums, "doc_id", "left").crossJoin(size).crossJoin(F.broadcast(corpus.stats.select("n")))  # one row each
+    p = odds.select("doc_id", "old", (1 / (1 + F.exp(-(logit(1 / n) + F.coalesce("more", F.lit(0.0)) / F.col("terms"))))).alias("p"))
+    most = F.broadcast(p.agg(F.max("p").alias("most"), F.count("*").alias("c")))
+    weight = sum(_bm25_weights(_collection(r)))
+    gain = F.when((F.col("c") > 1) & F.lit(best > 1), F.col("p") / F.col("most") * weight).otherwise(0.0)
+    return p.crossJoin(most).select("doc_id", F.round(F.col("old") + F.coalesce(gain, F.lit(0.0)), 5).alias("score"))
 
 
 def rerank_links(r: Ranking, ranked: DataFrame, links: DataFrame, urls: DataFrame, decay: float = 0.98) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,13 +69,26 @@ class Ranking:
     def key(self) -> list[str]:
         return ["doc_id"] if self.container is None else ["doc_id", "s", "e"]
 
+    @cached_property
+    def nodes(self) -> list[ast.Node]:
+        return [rewrite(parse(s.text, self.engine.macros)) for s in self.scorers]
+
+    @property
+    def _plain(self) -> bool:
+        """Whether documents are ranked by single tokens only."""
+        return self.container is None and all(isinstance(x, ast.Term) and not set(x.text) & set("*?$<") for x in self.nodes)
+
     def counted(self) -> DataFrame:
         """key, dl and tf0..: every container with its length and each scorer's matches in it.
 
         Documents and single tokens need no join at all: the counts come from the row's own token array.
         """
-        nodes = [rewrite(parse(s.text, self.engine.macros)) for s in self.scorers]
-        if self.container is None and all(isinstance(x, ast.Term) and not set(x.text) & set("*?$") for x in nodes):
+        nodes = self.nodes
+        if self._plain and self.engine.corpus.index:
+            tf = [F.sum(F.when(F.col("term") == x.text, F.col("tf")).otherwise(0)).cast("double").alias(f"tf{k}") for k, x in enumerate(nodes)]
+            found = self.engine.corpus.tf_table.where(F.col("term").isin(*(x.text for x in nodes))).groupBy("doc_id").agg(*tf)
+            return self.engine.corpus.doc_stats.select("doc_id", F.col("dl").cast("double")).join(found, "doc_id", "left").fillna(0.0, [f"tf{k}" for k in range(self.n)])
+        if self._plain:
             tokens = self.engine.corpus.tokens
             tf = [F.size(F.filter("tokens", _is(x.text))).cast("double").alias(f"tf{k}") for k, x in enumerate(nodes)]
             return tokens.select("doc_id", F.size("tokens").cast("double").alias("dl"), *tf)
@@ -92,11 +105,22 @@ class Ranking:
 
     def with_stats(self) -> DataFrame:
         """counted() where something matches, with n, avgdl, total, df0.. and cf0.. of the collection in each row."""
+        if self._plain and self.engine.corpus.index:
+            return self._with_saved_stats()
         counted = self.counted()
         stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("total"), *(F.sum(F.when(F.col(f"tf{k}") > 0, 1.0).otherwise(0.0)).alias(f"df{k}") for k in range(self.n)), *(F.sum(f"tf{k}").alias(f"cf{k}") for k in range(self.n)))
         some = reduce(lambda a, b: a | b, (F.col(f"tf{k}") > 0 for k in range(self.n)))
         return counted.where(some).crossJoin(F.broadcast(stats))  # one row
 
+    def _with_saved_stats(self) -> DataFrame:
+        """From the saved index: only rows of the query's terms and of documents that hold one are read and moved."""
+        corpus, texts = self.engine.corpus, [x.text for x in self.nodes]
+        tf = [F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).cast("double").alias(f"tf{k}") for k, t in enumerate(texts)]
+        found = corpus.tf_table.where(F.col("term").isin(*texts)).groupBy("doc_id").agg(*tf)
+        of = lambda column, k, t: F.coalesce(F.sum(F.when(F.col("term") == t, F.col(column))), F.lit(0)).cast("double").alias(f"{'d' if column == 'df' else 'c'}f{k}")
+        frequencies = corpus.lm.where(F.col("term").isin(*texts)).agg(*(of(c, k, t) for c in ("df", "tf") for k, t in enumerate(texts)))
+        return found.join(corpus.doc_stats.select("doc_id", F.col("dl").cast("double")), "doc_id").crossJoin(F.broadcast(corpus.stats)).crossJoin(F.broadcast(frequencies))  # one row each
+
     def rank(self, score: Column, count: int = 20) -> DataFrame:
         """key and score of the best ``count`` containers; ties by key; scores of 0 and less are left out."""
         scored = self.with_stats().select(*self.key, F.round(score, 5).alias("score")).where("score > 0")
@@ -113,11 +137,16 @@ def bm25_weight(k: int, w: float, idf: bool = True) -> Column:
     return F.when(raw < 1, raw + 0.5 * (1 - raw)).otherwise(raw)
 
 
-def bm25(r: Ranking, k1: float = K1, b: float = B, idf: bool = True, tf: bool = True, cap: float | None = None) -> Column:
+def bm25(r: Ranking, k1: float = K1, b: float = B, idf: bool = True, tf: bool = True, original: int | None = None) -> Column:
+    """With ``original`` scorers of the query itself, the later ones weigh no more than those do on average."""
+    weights = [bm25_weight(k, s.weight, idf) for k, s in enumerate(r.scorers)]
+    if original is not None and 0 < original < len(weights):
+        mean = reduce(lambda x, y: x + y, weights[:original]) / original
+        weights = [w if k < original else F.least(w, mean) for k, w in enumerate(weights)]
     norm = k1 * ((1 - b) + b * F.col("dl") / F.col("avgdl"))
 
     def part(k: int, f: Column, s: Scorer) -> Column:
-        w = bm25_weight(k, s.weight, idf) if cap is None else F.least(bm25_weight(k, s.weight, idf), F.lit(cap))
+        w = weights[k]
         f = f if tf else F.when(f > 0, 1.0).otherwise(0.0)
         return w * (k1 + 1) * f / (norm + f)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +13,10 @@ from lexigrove.functions import text, tokens
 from lexigrove.functions.stem import stem_udf
 from lexigrove.operators import count, extents, feedback, passages, prune, rank
 from lexigrove.operators.gcl import Engine
-from lexigrove.session import table
+from lexigrove.operators.xpath import XPath
+from lexigrove.session import shared_dir, table
 from lexigrove.sources.corpus import Corpus
+from lexigrove.streaming import updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -43,7 +47,13 @@ def query(sql: str | None = None):
     return add
 
 
+#: Folder of tables: folder of the saved index of its documents. Queries use it where there is one.
+INDEXES: dict[str, str] = {}
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    if sf_dir in INDEXES:
+        return Corpus.saved(INDEXES[sf_dir], table(spark, sf_dir, "documents"))
     return Corpus.documents(spark, sf_dir)
 
 
@@ -183,7 +193,7 @@ _MIN = "SELECT doc_id, s, e FROM (SELECT doc_id, s, e, min(e) OVER (PARTITION BY
 _POINTS = ", {k} AS (SELECT doc_id, pos AS s, pos AS e FROM post WHERE term = '{t}')"
 _AB = _POINTS.format(k="a", t="the") + _POINTS.format(k="b", t="of")
 #: AND of a and b, as a theta join that SQL can state plainly, made minimal.
-_AND = ", c AS (SELECT a.doc_id, least(a.s, b.s) AS s, greatest(a.e, b.e) AS e FROM a JOIN b USING (doc_id) WHERE abs(a.s - b.s) < 200 OR true), ab AS (" + _MIN.format(c="c") + ")"
+_AND = ", c AS (SELECT a.doc_id, least(a.s, b.s) AS s, greatest(a.e, b.e) AS e FROM a JOIN b USING (doc_id)), ab AS (" + _MIN.format(c="c") + ")"
 _FT = ", f AS (SELECT a.doc_id, a.s AS s, b.e AS e FROM a JOIN b ON a.doc_id = b.doc_id AND b.s > a.e), ft AS (" + _MIN.format(c="f") + ")"
 
 
@@ -468,7 +478,8 @@ def f_rerank_kld(spark, d):
 
 @query()
 def f_rerank_bayes(spark, d):
-    return feedback.rerank_bayes(corpus(spark, d), _ranked(spark, d, rank.bm25))
+    r = rank.Ranking(engine(spark, d), BY)
+    return feedback.rerank_bayes(r, r.rank(rank.bm25(r), 50))
 
 
 @query()
@@ -563,3 +574,49 @@ def l_links(spark, d):
 @query("SELECT doc_id, trim(regexp_replace(lower(text), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g')) AS plain FROM documents")
 def l_normalised_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.normalised(F.col("text")).alias("plain"))
+
+
+# XPath and updates ------------------------------------------------------------------------------------------------
+
+
+def _elements(path: str, sql: str):
+    """Registers how many elements a path has in each page; ``sql`` counts them in html."""
+    name = "x_" + re.sub(r"[^a-z0-9]+", "_", path.lower()).strip("_")
+
+    def run(spark, d):
+        return XPath(Corpus.pages(spark, d)).query(path).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+    run.__name__ = name
+    query(f"SELECT page_id AS doc_id, n FROM (SELECT page_id, {sql} AS n FROM (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<(script|style)>.*?</(script|style)>', '<\\1></\\1>', 'g') AS h FROM pages)) WHERE n > 0")(run)
+
+
+_NAV = "regexp_extract(h, '(?s)<nav>.*?</nav>')"
+_elements("//head/title", "len(regexp_extract_all(h, '<title>'))")
+_elements("//nav//a", f"len(regexp_extract_all({_NAV}, '<a '))")
+_elements("//nav/ul/li", f"len(regexp_extract_all({_NAV}, '<li>'))")
+_elements("//nav/ul/li/a[1]", f"len(regexp_extract_all({_NAV}, '<li><a '))")
+_elements("//nav/ul/li[2]", f"CAST(len(regexp_extract_all({_NAV}, '<li>')) >= 2 AS INT)::BIGINT")
+_elements("//nav/ul/li[last()]", f"CAST(len(regexp_extract_all({_NAV}, '<li>')) >= 1 AS INT)::BIGINT")
+_elements("//ul/parent::nav", "len(regexp_extract_all(h, '<nav><ul>'))")
+_elements("//title/ancestor::head", "len(regexp_extract_all(h, '<title>'))")
+_elements("//h1", "len(regexp_extract_all(h, '<h1>'))")
+_elements("//nav[count(ul) = 1]/ul", "len(regexp_extract_all(h, '<nav><ul>'))")
+
+_LAST = """SELECT path, CASE event WHEN 'click' THEN '' ELSE coalesce(props, '') END AS text FROM (
+SELECT '/u/' || user_id AS path, event_type AS event, props, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event <> 'purchase'"""
+
+
+@query(_LAST)
+def u_replayed(spark, d):
+    return updates.replayed(updates.from_events(table(spark, d, "events")))
+
+
+@query(_LAST)
+def u_generations(spark, d):
+    """The same by generations: three batches of events, then compaction, then what is there."""
+    live = updates.LiveCollection(spark, f"{shared_dir(spark)}/live-{uuid.uuid4().hex}")
+    events = updates.from_events(table(spark, d, "events"))
+    for batch in range(3):
+        live.apply(events.where(F.pmod("seq", F.lit(3)) == batch), batch)
+    live.compact()
+    return live.current()

@@ -14,10 +14,13 @@ from lexigrove.session import table
 class Corpus:
     """One row of ``docs`` (doc_id, text, ...) is one document; positions count its tokens from 0.
 
-    Everything is lazy. For many queries, ``save`` the postings once, sorted by term, and query the ``saved`` corpus:
-    then a query reads only the row groups of its terms.
+    Everything is lazy. For many queries, ``save`` the index once and query the ``saved`` corpus: then a query reads
+    only the row groups of its terms, and no text is tokenised again.
     """
 
+    #: Where the index is, if the corpus is a saved one.
+    index: str | None = None
+
     def __init__(self, docs: DataFrame, markup: bool = False, words: Column | None = None) -> None:
         self.docs, self.markup = docs, markup
         self._words = words if words is not None else (markup_tokens if markup else tokens)(F.col("text"))
@@ -62,5 +65,55 @@ class Corpus:
         return self.tokens.select("doc_id", F.explode(keep).alias("p")).select("doc_id", "p.pos", "p.term")
 
     def save(self, path: str, parts: int) -> None:
-        """Postings sorted by term within ranges of terms and documents; no term is bound to one task."""
-        self.postings.repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id", "pos").write.mode("overwrite").parquet(path)
+        """Writes the index: postings and counts by ranges of terms and documents, so that no term is bound to one task,
+        lengths, the dictionary and the collection's statistics. Ids name documents: each is in one row only."""
+
+        def put(name: str, frame: DataFrame, *order: str) -> None:
+            laid = frame.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order) if order else frame
+            laid.write.mode("overwrite").parquet(f"{path}/{name}")
+
+        put("postings", self.postings, "term", "doc_id", "pos")
+        saved = self.saved(path, self.docs, self.markup, self._words)
+        put("tf", saved.postings.groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "term", "doc_id")
+        put("lengths", self.doc_stats)
+        put("lm", saved.tf_table.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")), "term")
+        put("stats", saved.doc_stats.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), F.sum("dl").cast("double").alias("total")))
+
+    @classmethod
+    def saved(cls, path: str, docs: DataFrame, markup: bool = False, words: Column | None = None) -> Corpus:
+        """The corpus of ``docs`` whose index was saved to ``path``."""
+        return _Saved(path, docs, markup, words)
+
+
+class _Saved(Corpus):
+    """Reads the index; filters on terms reach the Parquet scan."""
+
+    def __init__(self, path: str, docs: DataFrame, markup: bool, words: Column | None) -> None:
+        super().__init__(docs, markup, words)
+        self.index = path
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        return self.docs.sparkSession.read.schema(schema).parquet(f"{self.index}/{name}")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return self._read("postings", "doc_id long, pos long, term string")
+
+    @cached_property
+    def tf_table(self) -> DataFrame:
+        return self._read("tf", "doc_id long, term string, tf long")
+
+    @cached_property
+    def doc_stats(self) -> DataFrame:
+        return self._read("lengths", "doc_id long, dl long")
+
+    @cached_property
+    def lm(self) -> DataFrame:
+        return self._read("lm", "term string, tf long, df long")
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return self._read("stats", "n double, avgdl double, total double")
+
+    def terms(self, *wanted: str) -> DataFrame:
+        return self.postings.where(F.col("term").isin(*wanted))

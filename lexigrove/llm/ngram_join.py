@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexigrove.llm.common import OUT_ROWS, Memo, bit_filter, in_filter, map_arrow, map_batches, packed
+from lexigrove.llm.common import OUT_ROWS, bit_filter, in_filter, map_arrow, map_batches, packed
 from lexigrove.session import Shelf
 
 #: Words of a shingle; the threshold in hundredths.
@@ -64,15 +64,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_words = Memo(xxhash.xxh3_64_intdigest, 100_000)
-
-
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of ``size`` words; a shorter text is one shingle."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z and ASCII white space count
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.array([_words[w] for w in words], np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(h) - size + 1)
     out = np.full(n, len(h) if len(h) < size else size, np.uint64)
     for k in range(min(size, len(h))):
@@ -84,7 +81,7 @@ def batch_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]
     """shingles() of each text; the hashing runs over the whole batch at once."""
     words = [(t or "").encode().lower().split() for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), np.uint64, int(lengths.sum()))
+    flat = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(lengths.sum()))
     ends = np.cumsum(lengths)
     out: list[np.ndarray] = []
     n = max(0, len(flat) - size + 1)

@@ -54,8 +54,8 @@ class WordIds:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = {t: array("I", [self.tokenizer.token_to_id(t)]).tobytes() for t in added}
         self.cut_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")")
-        self.word = Memo(self._word)
-        self.run = Memo(self._run)
+        self.word = Memo(self._word, 150_000)
+        self.run = Memo(self._run, 300_000)
 
     def _encoded(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

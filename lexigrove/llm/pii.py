@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lexigrove.llm.common import Memo, bit_filter, in_filter, map_arrow, map_batches
+from lexigrove.llm.common import bit_filter, in_filter, map_arrow, map_batches
 from lexigrove.session import Shelf
 
 #: Kinds in the order in which spans that start together are listed.
@@ -83,11 +83,10 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-_hashes = Memo(_hash, 100_000)
-
-
-def term_hashes(text: str) -> set[int]:
-    return {_hashes[t] for t in set(TERM.findall(text.lower()))}
+def term_hashes(text: str) -> np.ndarray:
+    """_hash() of each distinct term."""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, set(TERM.findall(text.lower()))), np.uint64)
+    return (hashes ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def term_spans(text: str, terms: dict[int, bool], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -139,7 +138,7 @@ def _term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
     there = bit_filter(terms.select(F.pmod("term", F.lit(FILTER_BITS)).alias("b")), FILTER_BITS)
 
     def each(batch: pa.RecordBatch) -> Iterable[tuple]:
-        found = [np.fromiter(term_hashes(text), np.int64) for text in batch[0].to_pylist() if text]
+        found = [term_hashes(text) for text in batch[0].to_pylist() if text]
         terms, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
         known = in_filter(there.value, terms % FILTER_BITS)
         yield from zip(terms[known].tolist(), counts[known].tolist(), strict=True)
@@ -166,7 +165,7 @@ def disclosing(shelf: Shelf, texts: DataFrame, held: DataFrame, generalise: floa
 
     def each(batch: pa.RecordBatch) -> Iterable[tuple]:
         for row, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-            for t in term_hashes(text):
+            for t in term_hashes(text).tolist():
                 yield row, t
 
     terms = shelf.put(map_batches(with_entities.select("row", "text"), each, pa.schema([("row", pa.int64()), ("term", pa.int64())]), "row long, term long"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: Fixed value: what a text without stems gives.
+UNSTEMMABLE = "[unstemmable]"
 #: Stems that stand for irregular forms, and what they become after stemming.
 IRREGULAR = dict(pair.split() for pair in """
 acadian acadia, african africa, american america, analysi analys, analyz analys, antarctica antarct, asian asia,
@@ -95,3 +99,19 @@ def _porter(word: str) -> str:
 @F.pandas_udf(StringType())
 def stem_udf(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else stem(w))
+
+
+def stem_words(text: str) -> str:
+    """The stems of the words of a text, without words that have none; UNSTEMMABLE if that leaves nothing.
+
+    Words end at blanks, tabs, line ends, dots and hyphens; a word of anything but ASCII letters has no stem. Suffixes are
+    matched in lower case only.
+    """
+    words = [w for w in re.split("[\t\n .-]+", text) if re.fullmatch("[A-Za-z]+", w)]
+    return " ".join(map(stem, words)) or UNSTEMMABLE
+
+
+@F.pandas_udf(StringType())
+def stem_text(texts: pd.Series) -> pd.Series:
+    """stem_words of each text; null stays null."""
+    return texts.map(lambda t: None if t is None else stem_words(t))

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.functions import text, tokens
-from lexigrove.functions.stem import stem_udf
-from lexigrove.operators import count, extents, feedback, passages, prune, rank
+from lexigrove.functions.stem import stem_text, stem_udf
+from lexigrove.operators import count, extents, feedback, passages, prune, rank, results
 from lexigrove.operators.gcl import Engine
 from lexigrove.operators.xpath import XPath
 from lexigrove.session import shared_dir, table
@@ -25,7 +25,8 @@ ORACLE: dict[str, str] = {}
 TERMS = ("license", "public", "the")
 BY = ", ".join(f'"{t}"' for t in TERMS)
 
-_NUMBER = "(regexp_matches(x, '^.?[0-9]') AND (length(x) > 8 OR (length(x) > 7 AND substr(x, 1, 1) > '1')))"
+_NUMBER_OF = "(regexp_matches({x}, '^.?[0-9]') AND (length({x}) > 8 OR (length({x}) > 7 AND substr({x}, 1, 1) > '1')))"
+_NUMBER = _NUMBER_OF.format(x="x")
 #: Common tables of the SQL: tk (token arrays), post (postings), tf, dl, st (one row of statistics), lm.
 BASE = f"""
 WITH RECURSIVE tk AS (SELECT doc_id, lang, source, n_chars, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]{{1,19}}', 0), lambda x: lower(x)), lambda x: NOT {_NUMBER}) AS t FROM documents),
@@ -256,6 +257,29 @@ def g_not_contained(spark, d):
     return engine(spark, d).query('"and"/<("the".."of")')
 
 
+@query(BASE + _AB + _AND + "SELECT doc_id, s, e, array_to_string(list_slice(t, s + 1, e + 1), ' ') AS got FROM ab JOIN tk USING (doc_id) WHERE e - s + 1 <= 5")
+def g_get_filtered(spark, d):
+    en = engine(spark, d)
+    return results.get(en.corpus, en.query('("the"^"of")<[5]'), filtered=True)
+
+
+@query(BASE + """, ch AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^A-Za-z0-9]*[A-Za-z0-9]{1,19}') AS c FROM documents),
+pl AS (SELECT doc_id, c, list_filter(range(1, len(c) + 1), lambda i: NOT """ + _NUMBER_OF.format(x="regexp_replace(c[i], '^[^A-Za-z0-9]+', '')") + """) AS places FROM ch)
+SELECT p.doc_id, p.pos AS s, p.pos + 2 AS e, regexp_replace(array_to_string(list_slice(c, places[p.pos + 1], places[p.pos + 3]), ''), '^[^A-Za-z0-9]+', '') AS got
+FROM post p JOIN post q ON p.doc_id = q.doc_id AND q.pos = p.pos + 1 JOIN pl ON pl.doc_id = p.doc_id WHERE p.term = 'of' AND q.term = 'the' AND p.pos + 3 <= len(places)""")
+def g_get_text(spark, d):
+    """The text from "of the" to the token after it, with what stands between them."""
+    en = engine(spark, d)
+    return results.get(en.corpus, en.query('"of the"').select("doc_id", "s", (F.col("e") + 1).alias("e")))
+
+
+@query(BASE + _AB + _FT + ", t AS (SELECT doc_id, pos FROM post WHERE term = 'and'), n AS (SELECT ft.doc_id, ft.s, ft.e, min(t.pos) AS p FROM ft LEFT JOIN t ON t.doc_id = ft.doc_id AND t.pos BETWEEN ft.s AND ft.e GROUP BY ALL) SELECT doc_id, s, e, coalesce(p, -1) AS add_s, coalesce(p, -1) AS add_e, source AS filename FROM n JOIN tk USING (doc_id)")
+def g_added(spark, d):
+    """Each match with its document's name and the first "and" in it."""
+    en = engine(spark, d)
+    return results.named(en.corpus, results.added(en, en.query('"the".."of"'), '"and"'), "source").withColumnRenamed("source", "filename")
+
+
 @query(BASE + "SELECT doc_id, unnest(range(0, len(t) - 299)) AS s, unnest(range(299, len(t))) AS e FROM tk WHERE len(t) >= 300")
 def g_all_of_width(spark, d):
     return engine(spark, d).query("[300]")
@@ -411,6 +435,15 @@ def r_bm25_quantised(spark, d):
     return _ranked(spark, d, rank.bm25_quantised)
 
 
+@query(_RANK + f", z AS (SELECT doc_id, round(sum({_FLOOR} * 2.2 * tf / (1.2 * (0.25 + 0.75 * dl / avgdl) + tf)), 5)" + _TOP.format(r="r").replace("SELECT doc_id, score FROM z", ", top AS (SELECT doc_id, score FROM z") + "), n AS (SELECT doc_id, min(pos) AS p FROM post WHERE term = 'version' GROUP BY doc_id) SELECT top.doc_id, score, source AS filename, CASE WHEN p IS NULL THEN 'n/a' ELSE regexp_extract(text, '(?i)\\bversion\\b') END AS added FROM top JOIN documents d ON d.doc_id = top.doc_id LEFT JOIN n ON n.doc_id = top.doc_id")
+def r_bm25_decorated(spark, d):
+    """A ranking with each document's name and the text of the first "version" in it."""
+    en = engine(spark, d)
+    r = rank.Ranking(en, BY)
+    rows = results.added_text(en, results.whole(en.corpus, r.rank(rank.bm25(r))), '"version"')
+    return results.named(en.corpus, rows, "source").select("doc_id", "score", F.col("source").alias("filename"), "added")
+
+
 @query()
 def r_bm25_containers(spark, d):
     """Passages from "the" to "of" ranked by what they hold."""
@@ -556,6 +589,12 @@ def l_stems(spark, d):
     return corpus(spark, d).lm.select("term", stem_udf("term").alias("stem"))
 
 
+@query("SELECT * FROM (VALUES ('information retrieval', 'inform retriev'), ('Flown WAS', 'Flown WAS'), ('flown well-known.', 'fly well known'), ('42', '[unstemmable]'), ('', '[unstemmable]')) v(text, stem)")
+def l_stem_command(spark, d):
+    rows = spark.createDataFrame([("information retrieval",), ("Flown WAS",), ("flown well-known.",), ("42",), ("",)], "text string")
+    return rows.select("text", stem_text(F.col("text")).alias("stem"))
+
+
 @query(BASE + "SELECT doc_id, len(list_filter(t, lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in text.STOPWORDS["en"]) + "))) AS words FROM tk")
 def l_without_stopwords(spark, d):
     return corpus(spark, d).tokens.select("doc_id", F.size(text.without_stopwords(F.col("tokens"))).cast("long").alias("words"))

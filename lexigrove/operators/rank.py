@@ -153,6 +153,22 @@ def bm25(r: Ranking, k1: float = K1, b: float = B, idf: bool = True, tf: bool =
     return r.total(part)
 
 
+def bm25_ctr(r: Ranking, share: float, count: int = 20) -> DataFrame:
+    """doc_id, score of the best documents by BM25 with chronological term rank (Troy and Zhang, 2007).
+
+    Each scorer that matches adds ``share`` of its weight times 1 - log10(at / 30 + 10) / log10(dl / 30 + 10), where
+    ``at`` is its first match's position. Ties go by document.
+    """
+    if r.container is not None:
+        raise ValueError("chronological term rank needs whole documents")
+    lists = [r.engine.extents(x).select("doc_id", "s", F.lit(k).alias("k")) for k, x in enumerate(r.nodes)]
+    firsts = reduce(DataFrame.unionByName, lists).groupBy("doc_id").agg(*(F.min(F.when(F.col("k") == k, F.col("s"))).alias(f"first{k}") for k in range(r.n)))
+    span = lambda x: F.log10(x / 30 + 10)
+    early = r.total(lambda k, f, s: F.when(f > 0, bm25_weight(k, s.weight) * share * (1 - span(F.col(f"first{k}")) / span(F.col("dl")))).otherwise(0.0))
+    scored = r.with_stats().join(firsts, "doc_id").select("doc_id", F.round(bm25(r) + early, 5).alias("score")).where("score > 0")
+    return scored.orderBy(F.desc("score"), "doc_id").limit(count)
+
+
 def language_model(r: Ranking, smoothing: str = "dirichlet", mu: float = MU, lam: float = LAMBDA) -> Column:
     """Dirichlet or Jelinek-Mercer ("none": without smoothing) likelihood over that of the collection."""
 

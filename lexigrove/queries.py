@@ -354,6 +354,8 @@ _RANK = BASE + ", q AS (SELECT unnest(['license', 'public', 'the']) AS term), m
 _TOP = " AS score FROM {r} GROUP BY doc_id) SELECT doc_id, score FROM z WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20"
 _W = "(CASE WHEN df < 1 OR df > n - 1 THEN 0 ELSE ln(n / df) END)"
 _FLOOR = f"(CASE WHEN {_W} < 1 THEN {_W} + 0.5 * (1 - {_W}) ELSE {_W} END)"
+_DRAWN = "(CASE WHEN raw < 1 THEN raw + 0.5 * (1 - raw) ELSE raw END)"
+_BM25 = _RANK + f", z AS (SELECT doc_id, round(sum({_FLOOR} * 2.2 * tf / (1.2 * (0.25 + 0.75 * dl / avgdl) + tf)), 5) AS score FROM r GROUP BY doc_id)"
 
 
 def _ranked(spark, d, score):
@@ -444,7 +446,13 @@ def r_bm25_decorated(spark, d):
     return results.named(en.corpus, rows, "source").select("doc_id", "score", F.col("source").alias("filename"), "added")
 
 
-@query()
+@query(_RANK + ", f AS (SELECT doc_id, term, min(pos) AS first FROM post JOIN q USING (term) GROUP BY ALL), rr AS (SELECT m.doc_id, tf, df, dl.dl::DOUBLE AS dl, first, st.* FROM m JOIN f USING (doc_id, term) JOIN g USING (term) JOIN dl USING (doc_id), st)" + f", z AS (SELECT doc_id, round(sum({_FLOOR} * (2.2 * tf / (1.2 * (0.25 + 0.75 * dl / avgdl) + tf) + 0.5 * (1 - log10(first / 30.0 + 10) / log10(dl / 30.0 + 10)))), 5)" + _TOP.format(r="rr"))
+def r_bm25_ctr(spark, d):
+    """BM25 in which early occurrences count for more."""
+    return rank.bm25_ctr(rank.Ranking(engine(spark, d), BY), 0.5)
+
+
+@query(BASE + _AB + _FT + f", q(term, w) AS (VALUES ('and', 1.0::DOUBLE), ('license', 2.0)), m AS (SELECT ft.doc_id, ft.s, ft.e, term, w, count(*)::DOUBLE AS tf FROM ft JOIN post p ON p.doc_id = ft.doc_id AND pos BETWEEN ft.s AND ft.e JOIN q USING (term) GROUP BY ALL), cs AS (SELECT count(*)::DOUBLE AS n, avg(e - s + 1) AS avgdl FROM ft), g AS (SELECT term, count(*)::DOUBLE AS df FROM m GROUP BY term), r AS (SELECT m.doc_id, m.s, m.e, tf, df, n, avgdl, (m.e - m.s + 1)::DOUBLE AS dl, CASE WHEN df < 1 OR df > n - 1 THEN 0 ELSE w * ln(n / df) END AS raw FROM m JOIN g USING (term), cs), z AS (SELECT doc_id, s, e, round(sum({_DRAWN} * 2.2 * tf / (1.2 * (0.25 + 0.75 * dl / avgdl) + tf)), 5) AS score FROM r GROUP BY ALL) SELECT doc_id, s, e, score FROM z WHERE score > 0 ORDER BY score DESC, doc_id, s LIMIT 20")
 def r_bm25_containers(spark, d):
     """Passages from "the" to "of" ranked by what they hold."""
     r = rank.Ranking(engine(spark, d), '"and", #2 "license"', container='"the".."of"')
@@ -471,7 +479,7 @@ for _name in passages.MODELS:
     _passage(_name)
 
 
-@query()
+@query(_BM25 + ", b AS (SELECT doc_id, score FROM z WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20) SELECT '42 Q0 ' || doc_id || ' ' || row_number() OVER (ORDER BY score DESC, doc_id) || ' ' || format('{:.5f}', score) || ' run1' AS value FROM b")
 def k_trec_run(spark, d):
     return rank.trec_run(_ranked(spark, d, rank.bm25), "42", "run1")
 
@@ -504,12 +512,12 @@ def f_terms_kld(spark, d):
     return feedback.term_scores(corpus(spark, d), table(spark, d, "labels").where("quality = 0").orderBy("doc_id").limit(15), "kld")
 
 
-@query()
+@query(_BM25 + ", b AS (SELECT doc_id, score AS old FROM z WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20), best AS (SELECT doc_id FROM b ORDER BY old DESC, doc_id LIMIT 15), md AS (SELECT term, sum(tf)::DOUBLE AS m FROM tf JOIN best USING (doc_id) GROUP BY term), x AS (SELECT b.doc_id, old, tf.tf / dl AS p, lm.tf / total AS q, coalesce(m, 0) / (SELECT sum(m) FROM md) AS mp FROM b JOIN tf USING (doc_id) JOIN dl USING (doc_id) JOIN lm USING (term) LEFT JOIN md USING (term), st), y AS (SELECT doc_id, old - sum(p * ln(p / (0.8 * mp + 0.2 * q))) / sum(p * ln(p / q)) AS v FROM x GROUP BY doc_id, old) SELECT doc_id, round(CASE WHEN v < 1 THEN 1 / (2 - v) ELSE v END, 5) AS score FROM y")
 def f_rerank_kld(spark, d):
     return feedback.rerank_kld(corpus(spark, d), _ranked(spark, d, rank.bm25))
 
 
-@query()
+@query(_BM25 + f", b AS (SELECT doc_id, score AS old FROM z WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50), best AS (SELECT doc_id FROM b ORDER BY old DESC, doc_id LIMIT 15), ch AS (SELECT term, count(*)::DOUBLE AS c FROM tf JOIN best USING (doc_id) JOIN lm USING (term) WHERE df > 1 GROUP BY term), lo AS (SELECT b.doc_id, old, 1 / (1 + exp(-avg(ln(CASE WHEN tf.doc_id IS NULL THEN 1 / (n - 1) ELSE (c / n) / (1 - c / n) END)))) AS p FROM b CROSS JOIN ch CROSS JOIN st LEFT JOIN tf ON tf.doc_id = b.doc_id AND tf.term = ch.term GROUP BY b.doc_id, old), w AS (SELECT sum({_FLOOR}) AS w FROM g, st) SELECT doc_id, round(old + p / (SELECT max(p) FROM lo) * w, 5) AS score FROM lo, w")
 def f_rerank_bayes(spark, d):
     r = rank.Ranking(engine(spark, d), BY)
     return feedback.rerank_bayes(r, r.rank(rank.bm25(r), 50))
@@ -556,12 +564,15 @@ def d_discretised(spark, d):
     return prune.discretised(corpus(spark, d))
 
 
-@query(BASE + ", x AS (SELECT doc_id, term, round(tf.tf / dl * ln(tf.tf / dl / (lm.tf / total)), 9) AS kld FROM tf JOIN dl USING (doc_id) JOIN lm USING (term), st) SELECT doc_id, term, kld FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kld DESC, term) AS r FROM x) WHERE r <= 12")
+_SURROGATES = BASE + ", x AS (SELECT doc_id, term, round(tf.tf / dl * ln(tf.tf / dl / (lm.tf / total)), 9) AS kld FROM tf JOIN dl USING (doc_id) JOIN lm USING (term), st)"
+
+
+@query(_SURROGATES + " SELECT doc_id, term, kld FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kld DESC, term) AS r FROM x) WHERE r <= 12")
 def d_surrogates(spark, d):
     return prune.surrogates(corpus(spark, d))
 
 
-@query()
+@query(_SURROGATES + ", y AS (SELECT doc_id, term, kld FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kld DESC, term) AS r FROM x) WHERE r <= 12), o AS (SELECT term, kld AS b FROM y WHERE doc_id = 1) SELECT doc_id, round(sum(kld * b) / sqrt(any_value(l) * (SELECT sum(b * b) FROM o)), 6) AS cosine FROM y JOIN o USING (term) JOIN (SELECT doc_id, sum(kld * kld) AS l FROM y GROUP BY doc_id) USING (doc_id) GROUP BY doc_id")
 def d_surrogate_cosine(spark, d):
     return prune.surrogate_cosine(prune.surrogates(corpus(spark, d)), 1)
 

@@ -15,6 +15,7 @@ from lexigrove.operators import count, extents, feedback, passages, prune, rank,
 from lexigrove.operators.gcl import Engine
 from lexigrove.operators.xpath import XPath
 from lexigrove.session import shared_dir, table
+from lexigrove.sources import files
 from lexigrove.sources.corpus import Corpus
 from lexigrove.streaming import updates
 
@@ -188,6 +189,11 @@ def d_postings_bytes(spark, d):
     return count.postings_bytes(corpus(spark, d))
 
 
+@query("SELECT page_id, CASE WHEN regexp_matches(h, '^.{0,512}<html', 's') AND (regexp_matches(h, '<!doctype html|<head|<body') OR regexp_matches(h, '<title>') AND regexp_matches(h, '</title>')) THEN 'html' ELSE 'text' END AS kind FROM (SELECT page_id, lower(coalesce(html, '')) AS h FROM pages)")
+def t_kinds(spark, d):
+    return table(spark, d, "pages").select("page_id", files.kind(F.col("html")).alias("kind"))
+
+
 # Region algebra -------------------------------------------------------------------------------------------------
 
 _MIN = "SELECT doc_id, s, e FROM (SELECT doc_id, s, e, min(e) OVER (PARTITION BY doc_id ORDER BY s DESC, e ASC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM (SELECT DISTINCT doc_id, s, e FROM {c})) WHERE m IS NULL OR e < m"

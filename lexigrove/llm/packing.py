@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
+from lexigrove.llm.bpe import byte_alphabet
 from lexigrove.llm.common import Memo, map_batches
 from lexigrove.session import Shelf
 
@@ -32,13 +33,15 @@ GROUP_ROWS, GROUPS = 200, 4096
 
 #: Marks that commonly follow a word.
 PUNCTUATION = frozenset(".,;:!?")
+#: Runs and words whose ids a worker remembers, in each of two generations. Workers live on after a task, beside others.
+REMEMBERED = 200_000
 
 
 class WordIds:
     """Ids by the tokenizers library, remembered for each word and each run of characters between white space.
 
     The vocabulary's tokenizer drops white space and none of its words reaches over any, so a text's ids are those
-    of its runs, one after another.
+    of its runs, one after another. A word is a run too, so one cache does for both.
     """
 
     #: Fixed value: how this vocabulary's tokenizer cuts a text into words.
@@ -54,24 +57,27 @@ class WordIds:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = {t: array("I", [self.tokenizer.token_to_id(t)]).tobytes() for t in added}
         self.cut_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")")
-        self.word = Memo(self._word)
-        self.run = Memo(self._run)
+        self.characters = {b: c for c, b in byte_alphabet().items()}
+        self.run = Memo(self._run, REMEMBERED)
 
     def _encoded(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        """A word as WORDS cuts it. The model alone does for ASCII letters, which the normaliser leaves as they are."""
-        if word.isascii() and word.isalpha():
+        """A word as WORDS cuts it. The model alone does for ASCII and for Latin letters, which the normaliser leaves as they are."""
+        if word.isascii() and word.isalnum():
             return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        if word.isascii() or (word.isalpha() and max(word) < "\u0250"):  # its bytes, as the vocabulary writes them
+            return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.characters))]).tobytes()
         return self._encoded(word)
 
     def _run(self, run: str) -> bytes:
         if run.isalpha():  # one word
-            return self.word[run]
+            return self._word(run)
         if run[-1] in PUNCTUATION and run[:-1].isalpha():  # one word and a mark
-            return self.word[run[:-1]] + self.word[run[-1]]
-        return b"".join([self.word[w] for w in self.WORDS.findall(run)])
+            return self.run[run[:-1]] + self.run[run[-1]]
+        words = self.WORDS.findall(run)
+        return self._word(run) if words == [run] else b"".join([self.run[w] for w in words])
 
     def _plain(self, text: str) -> bytes:
         if self.SEPARATORS.search(text):

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -43,6 +44,23 @@ def test_word_ids_equal_the_library():
         assert ids(own.encode(text)) == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_that_skip_the_normaliser_equal_the_library():
+    library, own = Tokenizer.from_file(WORD), packing.WordIds(WORD)
+    low = [chr(c) for c in range(0x250)]
+    for text in [*low, *(f"a{c}{c}b {c}a?" for c in low), "".join(c for c in low if c.isalpha()), "éauxelleç $$$ a\x00b\x7f", "it's 'S \u00b2\u00bd"]:
+        assert ids(own.encode(text)) == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_many_words_take_little_memory():
+    own = packing.WordIds(WORD)
+    tracemalloc.start()
+    for k in range(0, 500_000, 1000):
+        own.encode(" ".join("".join(chr(97 + (x >> s & 15)) for s in (0, 4, 8, 12, 16)) for x in range(k, k + 1000)))
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 70_000_000, most
+
+
 def test_round_trip_of_tables(spark):
     rows = [(1, "Hello world"), (2, None), (3, ""), (None, "x"), (1, "Hello world"), (4, "é\n" * 30_000)]
     docs = spark.createDataFrame([(i, t, b"") for i, t in rows], "doc_id long, text string, ids binary")

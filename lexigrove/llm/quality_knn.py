@@ -1,15 +1,17 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
 Texts become hashed byte-trigram counts, damped, weighted by inverse document frequency over the whole corpus, and
-projected on the leading singular vectors of a bounded sample of labelled documents. The sample's vectors are
-broadcast; each document gets its exact cosines with all of them, block by block, and its nearest neighbours' labels
-vote with weights that grow with similarity.
+projected on the leading singular vectors of a bounded sample of labelled documents. One task of an executor finds
+these, so that the driver holds only the projection and the sample's vectors, which are broadcast. Each document gets
+its exact cosines with all of them, block by block, and its nearest neighbours' labels vote with weights that grow with
+similarity.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 from lexigrove.llm.common import map_batches
 
 #: Hashed features; dimensions of the latent space; labelled documents of each label in the sample (by hash of the
-#: id), so that 2 * SAMPLE * (FEATURES + DIMENSIONS) numbers bound the driver's work and 2 * SAMPLE * DIMENSIONS the broadcast.
+#: id), so that 2 * SAMPLE * (FEATURES + 2 * SAMPLE) numbers bound the work of the task that fits the space, and
+#: (2 * SAMPLE + FEATURES) * DIMENSIONS what comes to the driver and is broadcast.
 FEATURES, DIMENSIONS, SAMPLE = 4096, 48, 1500
 #: Neighbours that vote; the power of similarity in a vote's weight; documents multiplied at once.
 NEIGHBOURS, POWER, BLOCK = 15, 4.0, 256
@@ -38,9 +41,11 @@ def counts(text: str) -> np.ndarray:
 
 def features(counted: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """A unit row for each row of counts, or a row of zeros where there are none."""
-    x = np.log1p(counted) * idf
+    x = np.log1p(counted)
+    x *= idf
     norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm > 0, norm, 1)
+    x /= np.where(norm > 0, norm, 1)
+    return x
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -61,14 +66,14 @@ class Voters:
 
     def __init__(self, counted: list[np.ndarray], labels: list[int], idf: np.ndarray, share: float) -> None:
         self.idf, self.labels = idf.astype(np.float32), np.asarray(labels, np.float32)
-        x = features(np.stack(counted), self.idf) if counted else np.zeros((0, FEATURES), np.float32)
-        self.mean = x.mean(axis=0) if len(x) else np.zeros(FEATURES, np.float32)
-        centred = x - self.mean
-        values, vectors = np.linalg.eigh(centred @ centred.T) if len(x) else (np.zeros(0), np.zeros((0, 0)))
+        centred = features(np.stack(counted), self.idf) if counted else np.zeros((0, FEATURES), np.float32)
+        self.mean = centred.mean(axis=0) if len(centred) else np.zeros(FEATURES, np.float32)
+        centred -= self.mean
+        values, vectors = np.linalg.eigh(centred @ centred.T) if len(centred) else (np.zeros(0), np.zeros((0, 0)))
         top = np.argsort(values)[::-1][:DIMENSIONS]
         top = top[values[top] > 1e-9] if len(top) else top
         self.axes = (centred.T @ vectors[:, top] / np.sqrt(values[top])).astype(np.float32) if len(top) else np.zeros((FEATURES, 1), np.float32)
-        self.vectors = unit(centred @ self.axes) if len(x) else np.zeros((0, self.axes.shape[1]), np.float32)
+        self.vectors = unit(centred @ self.axes) if len(centred) else np.zeros((0, self.axes.shape[1]), np.float32)
         n = np.array([(self.labels == q).sum() for q in (0, 1)])
         weight = share / (1 - share) * n[0] / n[1] if n.all() and 0 < share < 1 else 1.0
         self.vote = np.where(self.labels == 1, np.float32(weight), np.float32(1))
@@ -97,12 +102,12 @@ class Voters:
         return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, size: int) -> tuple[list[tuple[int, int, bytes]], float]:
-    """Id, label and counts of at most ``size`` labelled documents of each label outside the held-out fold, chosen by the
-    hash of the id, and the share of label 1 among all labelled ones outside it.
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, float]:
+    """Id, label and counts (i, q, c) of at most ``size`` labelled documents of each label outside the held-out fold,
+    chosen by the hash of the id, and the share of label 1 among all labelled ones outside it.
 
     A document labelled both 0 and 1 counts as 1. Of rows that share an id, one (with the greatest counts) is taken; so
-    at most 2 * size rows of FEATURES 16-bit numbers come to the driver, no texts.
+    there are at most 2 * size rows of FEATURES 16-bit numbers.
     """
     usable = labels.where("quality in (0, 1) and doc_id is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) != 0)
     usable = usable.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -117,7 +122,20 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, size:
 
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).join(ids, F.col("__doc") == F.col("__id"))
     counted = map_batches(rows.select(F.col("__doc").cast("long"), "quality", "__text"), each, pa.schema([("i", pa.int64()), ("q", pa.int32()), ("c", pa.binary())]), "i long, q int, c binary")
-    return sorted(map(tuple, counted.groupBy("i", "q").agg(F.max("c")).collect())), 0.5 if share is None else float(share)
+    return counted.groupBy("i", "q").agg(F.max("c").alias("c")), 0.5 if share is None else float(share)
+
+
+def fitted(picked: DataFrame, idf: np.ndarray, share: float) -> Voters:
+    """The voters of a sample, made by one task; its rows do not pass through the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        if rows:
+            voters = Voters([np.frombuffer(c, "<u2") for *_, c in rows], [q for _, q, _ in rows], idf, share)
+            yield pa.record_batch([pa.array([pickle.dumps(voters)], pa.binary())], names=["voters"])
+
+    made = picked.repartition(1).mapInArrow(run, "voters binary").collect()
+    return pickle.loads(made[0].voters) if made else Voters([], [], idf, share)
 
 
 def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
@@ -150,8 +168,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     df, n = document_frequencies(docs, text_col)
     picked, share = sample(docs, labels, id_col, text_col, size)
-    counted = [np.frombuffer(c, "<u2").astype(np.float32) for *_, c in picked]
-    voters = docs.sparkSession.sparkContext.broadcast(Voters(counted, [q for _, q, _ in picked], np.log((1 + n) / (1 + df)) + 0.1, share))
+    voters = docs.sparkSession.sparkContext.broadcast(fitted(picked, np.log((1 + n) / (1 + df)) + 0.1, share))
 
     def each(batch: pa.RecordBatch) -> Iterable[tuple]:
         ids = batch[0].to_pylist()

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -131,6 +132,20 @@ def test_neighbours(spark):
     assert all(r.score == 0.5 for r in quality_knn.score(odd, labels.limit(0)).collect())
 
 
+def test_labelled_documents_stay_off_the_driver(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat(id, if(id % 2 = 1, ' some good words ', '!! $$ '), hash(id)) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    tracemalloc.start()
+    try:
+        scores = quality_knn.score(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # 3000 labelled documents of 4096 counts; their 16-bit counts alone are 25 MB, the projection and vectors 1.4 MB
+    assert peak < 12_000_000
+    assert all(r.predicted == r.doc_id % 2 for r in scores.collect() if r.held_out)
+
+
 def test_votes_equal_a_plain_loop():
     rng = quality_knn.np.random.default_rng(4)
     texts = ["".join(rng.choice(list("abcd "), 60)) for _ in range(80)]

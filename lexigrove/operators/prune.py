@@ -12,8 +12,9 @@ from lexigrove.sources.corpus import Corpus
 
 def _with_stats(corpus: Corpus) -> DataFrame:
     """tf_table with dl, cf, df, n, avgdl, total."""
+    corpus = corpus.counts
     lm = corpus.lm.select("term", F.col("tf").alias("cf"), "df")
-    return corpus.tf_table.join(corpus.doc_stats, "doc_id").join(lm, "term").crossJoin(F.broadcast(corpus.stats))  # one row
+    return corpus.with_terms(corpus.tf_lengths, lm).crossJoin(F.broadcast(corpus.stats))  # one row
 
 
 def document_centric(corpus: Corpus, k: int = 4, share: float = 0.1) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigrove.functions.tokens import tokens
+from lexigrove.operators import prune
 from lexigrove.queries import QUERIES
 from lexigrove.sources import corpus as module
 from lexigrove.sources.corpus import Corpus
@@ -14,6 +15,7 @@ SF = "/root/testdata/sf0.001"
 #: Queries whose result reads tables of counts or places, not the texts again.
 READ_ONCE = [
     "f_feedback_qrels",
+    "d_surrogates",
 ]
 
 
@@ -51,3 +53,8 @@ def test_frequent_terms_are_broadcast_and_rare_ones_joined(spark, monkeypatch, h
     c = Corpus.documents(spark, SF).counts
     lm = c.lm.select("term", "df")
     assert sorted(c.with_terms(c.tf_table, lm).collect()) == sorted(c.tf_table.join(lm, "term").collect())
+
+
+def test_terms_are_cut_before_rows_move(spark):
+    for frame in (prune.surrogates(Corpus.documents(spark, SF)), prune.keywords(Corpus.documents(spark, SF))):
+        assert "WindowGroupLimit" in plan(frame) and "BroadcastHashJoin" in plan(frame)

@@ -16,6 +16,7 @@ SF = "/root/testdata/sf0.001"
 READ_ONCE = [
     "f_feedback_qrels",
     "d_surrogates",
+    "d_keywords",
 ]
 
 

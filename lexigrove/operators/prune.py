@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexigrove.operators.count import encode_tf
+from lexigrove.session import cut
 from lexigrove.sources.corpus import Corpus
 
 
@@ -72,6 +73,7 @@ def surrogates(corpus: Corpus, n: int = 12) -> DataFrame:
 
 def surrogate_cosine(surrogate: DataFrame, doc_id: int) -> DataFrame:
     """doc_id, cosine of all documents with one of them, over surrogates."""
+    surrogate = cut(surrogate)
     one = surrogate.where(F.col("doc_id") == doc_id).select("term", F.col("kld").alias("b"))
     lengths = surrogate.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("kld") * F.col("kld"))).alias("l"))
     base = one.agg(F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("lb"))

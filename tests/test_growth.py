@@ -17,6 +17,7 @@ READ_ONCE = [
     "f_feedback_qrels",
     "d_surrogates",
     "d_keywords",
+    "d_surrogate_cosine",
 ]
 
 

@@ -39,16 +39,15 @@ def impacts(corpus: Corpus, k1: float = 1.2, b: float = 0.5) -> DataFrame:
 def term_centric(corpus: Corpus, k: int = 10, epsilon: float = 0.5) -> DataFrame:
     """doc_id, term, tf, df: postings whose impact is at least ``epsilon`` times the term's k-th; terms with fewer stay whole.
 
-    The k-th impact of each term comes from lists of at most k, combined before they move, so a frequent term's
-    postings never meet in one task.
+    The k-th impact of each term comes from lists of at most k of each task: Spark cuts a limited rank before it moves
+    the rows, so a frequent term's postings never meet in one task.
     """
+    corpus = corpus.counts
     found = impacts(corpus)
-    best = found.withColumn("__part", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
-    first = Window.partitionBy("term", "__part").orderBy(F.desc("impact"))
-    best = best.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= k)
-    second = Window.partitionBy("term").orderBy(F.desc("impact"), "doc_id")
-    kth = best.withColumn("__r", F.row_number().over(second)).where(F.col("__r") == k).select("term", F.col("impact").alias("kth"))
-    return found.join(corpus.lm.select("term", "df"), "term").join(kth, "term", "left").where(F.coalesce(F.col("impact") >= epsilon * F.col("kth"), F.lit(True))).select("doc_id", "term", "tf", "df")
+    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("impact"), "doc_id"))
+    kth = found.withColumn("__r", place).where(F.col("__r") == k).select("term", F.col("impact").alias("kth"))
+    dictionary = cut(corpus.lm.select("term", "df").join(kth, "term", "left"))
+    return corpus.with_terms(found, dictionary).where(F.coalesce(F.col("impact") >= epsilon * F.col("kth"), F.lit(True))).select("doc_id", "term", "tf", "df")
 
 
 def top_terms_only(corpus: Corpus, n: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """What queries read and move: texts are taken apart once, and what is cut or shortened gives the same rows."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -18,6 +19,7 @@ READ_ONCE = [
     "d_surrogates",
     "d_keywords",
     "d_surrogate_cosine",
+    "d_term_centric",
 ]
 
 
@@ -60,3 +62,14 @@ def test_frequent_terms_are_broadcast_and_rare_ones_joined(spark, monkeypatch, h
 def test_terms_are_cut_before_rows_move(spark):
     for frame in (prune.surrogates(Corpus.documents(spark, SF)), prune.keywords(Corpus.documents(spark, SF))):
         assert "WindowGroupLimit" in plan(frame) and "BroadcastHashJoin" in plan(frame)
+
+
+def test_term_centric_equals_a_plain_loop(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("aabbbccde") for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    c = Corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    avg = sum(len(t.split()) for t in texts) / 60
+    impact = {(i, w): round(n * 2.2 / (n + 1.2 * (0.5 + 0.5 * len(t.split()) / avg)), 9) for i, t in enumerate(texts) for w, n in Counter(t.split()).items()}
+    best = {w: sorted((x for (_, v), x in impact.items() if v == w), reverse=True) for w in "abcde"}
+    want = {(i, w) for (i, w), x in impact.items() if len(best[w]) < 40 or x >= 0.9 * best[w][39]}
+    assert {(r.doc_id, r.term) for r in prune.term_centric(c, 40, 0.9).collect()} == want and len(want) < len(impact)

@@ -20,6 +20,7 @@ READ_ONCE = [
     "d_keywords",
     "d_surrogate_cosine",
     "d_term_centric",
+    "d_document_centric",
 ]
 
 

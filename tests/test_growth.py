@@ -21,6 +21,7 @@ READ_ONCE = [
     "d_surrogate_cosine",
     "d_term_centric",
     "d_document_centric",
+    "f_feedback_kld",
 ]
 
 

@@ -22,6 +22,7 @@ READ_ONCE = [
     "d_term_centric",
     "d_document_centric",
     "f_feedback_kld",
+    "f_rerank_bayes",
 ]
 
 

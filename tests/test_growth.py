@@ -23,6 +23,7 @@ READ_ONCE = [
     "d_document_centric",
     "f_feedback_kld",
     "f_rerank_bayes",
+    "f_rerank_kld",
 ]
 
 

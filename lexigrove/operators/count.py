@@ -71,9 +71,10 @@ def lm_mix(p: DataFrame, q: DataFrame, share: float) -> DataFrame:
 
 def vector_lengths(corpus: Corpus, log_tf: bool = True) -> DataFrame:
     """doc_id, vl: root of the summed squares of tf weight times idf."""
+    corpus = corpus.counts
     lm, n = corpus.lm.select("term", "df"), corpus.doc_stats.agg(F.count("*").cast("double").alias("n"))
     weight = (1 + F.log2("tf")) if log_tf else F.col("tf")
-    rows = corpus.tf_table.join(lm, "term").crossJoin(F.broadcast(n))  # one row
+    rows = corpus.with_terms(corpus.tf_table, lm).crossJoin(F.broadcast(n))  # one row
     return rows.groupBy("doc_id").agg(F.round(F.sqrt(F.sum(F.pow(weight * F.ln(F.col("n") / F.col("df")), 2))), 5).alias("vl"))
 
 

@@ -24,6 +24,7 @@ READ_ONCE = [
     "f_feedback_kld",
     "f_rerank_bayes",
     "f_rerank_kld",
+    "r_vector_space",
 ]
 
 

@@ -37,6 +37,12 @@ def test_texts_are_taken_apart_once(spark, name):
     assert "regexp_extract_all" not in plan(QUERIES[name](spark, SF))
 
 
+def test_decorated_ranking_reads_only_texts_of_its_rows(spark):
+    # Names and texts of the ranked documents; ranking, lengths and matches come from one table of places.
+    assert plan(QUERIES["r_bm25_decorated"](spark, SF)).count("FileScan parquet [doc_id#") <= 9
+    assert "[a-z0-9]{1,19}" not in plan(QUERIES["r_bm25_decorated"](spark, SF))
+
+
 def test_no_other_character_becomes_a_letter(spark):
     # One character of each code point (but U+FEFF, which decode() drops) between two letters: only ASCII ones join them.
     rows = spark.range(1, 0x110000).where("(id < 55296 or id > 57343) and id <> 65279").select(F.col("id"), F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))

@@ -25,6 +25,7 @@ READ_ONCE = [
     "f_rerank_bayes",
     "f_rerank_kld",
     "r_vector_space",
+    "c_vector_lengths",
 ]
 
 

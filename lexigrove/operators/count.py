@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexigrove.operators.gcl import Engine
+from lexigrove.session import cut
 from lexigrove.sources.corpus import Corpus
 
 
@@ -54,6 +55,7 @@ def lm_merge(*models: DataFrame) -> DataFrame:
 
 def kl_divergence(p: DataFrame, q: DataFrame, floor: float = 0.5) -> DataFrame:
     """One row kld: sum of p ln(p/q); q is at least ``floor`` occurrences; shares of p under 1e-9 are left out."""
+    p, q = cut(p.select("term", "tf")), cut(q.select("term", "tf"))
     tp, tq = p.agg(F.sum("tf").cast("double").alias("tp")), q.agg(F.sum("tf").cast("double").alias("tq"))
     rows = p.select("term", F.col("tf").alias("fp")).join(q.select("term", F.col("tf").alias("fq")), "term", "left").crossJoin(F.broadcast(tp)).crossJoin(F.broadcast(tq))  # one row each
     share, other = F.col("fp") / F.col("tp"), F.greatest(F.coalesce("fq", F.lit(0)).cast("double"), F.lit(floor)) / F.col("tq")

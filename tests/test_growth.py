@@ -26,6 +26,7 @@ READ_ONCE = [
     "f_rerank_kld",
     "r_vector_space",
     "c_vector_lengths",
+    "c_kl_divergence",
 ]
 
 

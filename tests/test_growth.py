@@ -27,6 +27,7 @@ READ_ONCE = [
     "r_vector_space",
     "c_vector_lengths",
     "c_kl_divergence",
+    "f_feedback_okapi",
 ]
 
 

@@ -33,7 +33,8 @@ def document_centric(corpus: Corpus, k: int = 4, share: float = 0.1) -> DataFram
 def impacts(corpus: Corpus, k1: float = 1.2, b: float = 0.5) -> DataFrame:
     """doc_id, term, tf, impact: the part of a BM25 score that is the document's own."""
     norm = k1 * ((1 - b) + b * F.col("dl") / F.col("avgdl"))
-    return corpus.tf_table.join(corpus.doc_stats, "doc_id").crossJoin(F.broadcast(corpus.stats)).select("doc_id", "term", "tf", F.round(F.col("tf") * (k1 + 1) / (F.col("tf") + norm), 9).alias("impact"))  # one row
+    corpus = corpus.counts
+    return corpus.tf_lengths.crossJoin(F.broadcast(corpus.stats)).select("doc_id", "term", "tf", F.round(F.col("tf") * (k1 + 1) / (F.col("tf") + norm), 9).alias("impact"))  # one row
 
 
 def term_centric(corpus: Corpus, k: int = 10, epsilon: float = 0.5) -> DataFrame:

@@ -28,6 +28,7 @@ READ_ONCE = [
     "c_vector_lengths",
     "c_kl_divergence",
     "f_feedback_okapi",
+    "d_discretised",
 ]
 
 

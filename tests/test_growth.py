@@ -29,6 +29,7 @@ READ_ONCE = [
     "c_kl_divergence",
     "f_feedback_okapi",
     "d_discretised",
+    "f_terms_kld",
 ]
 
 

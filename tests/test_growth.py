@@ -30,6 +30,7 @@ READ_ONCE = [
     "f_feedback_okapi",
     "d_discretised",
     "f_terms_kld",
+    "f_synonyms",
 ]
 
 

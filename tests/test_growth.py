@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions.tokens import tokens
 from lexigrove.operators import prune
+from lexigrove.operators.gcl import Engine
+from lexigrove.operators.rank import Ranking
 from lexigrove.queries import QUERIES
 from lexigrove.sources import corpus as module
 from lexigrove.sources.corpus import Corpus
@@ -31,6 +33,7 @@ READ_ONCE = [
     "d_discretised",
     "f_terms_kld",
     "f_synonyms",
+    "r_bm25_containers",
 ]
 
 
@@ -90,3 +93,17 @@ def test_term_centric_equals_a_plain_loop(spark):
     best = {w: sorted((x for (_, v), x in impact.items() if v == w), reverse=True) for w in "abcde"}
     want = {(i, w) for (i, w), x in impact.items() if len(best[w]) < 40 or x >= 0.9 * best[w][39]}
     assert {(r.doc_id, r.term) for r in prune.term_centric(c, 40, 0.9).collect()} == want and len(want) < len(impact)
+
+
+def test_matches_in_overlapping_containers(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("stxyz") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    e = Engine(Corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    box, by = '"s"^"t"', ['"x"', '"y z"', '"x"^"z"']
+    r = Ranking(e.gathered(box, *by), ", ".join(by), container=box)
+    boxes = [(x.doc_id, x.s, x.e) for x in e.query(box).collect()]
+    found = [[(x.doc_id, x.s, x.e) for x in e.query(q).collect()] for q in by]
+    want = {(d, s, z): tuple(float(sum(i == d and s <= a and b <= z for i, a, b in f)) for f in found) for d, s, z in boxes}
+    rows = r.counted().collect()
+    assert len(rows) == len(boxes) and {(x.doc_id, x.s, x.e): (x.tf0, x.tf1, x.tf2) for x in rows} == want
+    assert "SortMergeJoin" not in plan(r.counted()) and "BroadcastHashJoin" not in plan(r.counted())

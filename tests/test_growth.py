@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigrove.functions.tokens import tokens
-from lexigrove.operators import prune
+from lexigrove.operators import count, prune
 from lexigrove.operators.gcl import Engine
 from lexigrove.operators.rank import Ranking
 from lexigrove.queries import QUERIES
@@ -34,6 +34,7 @@ READ_ONCE = [
     "f_terms_kld",
     "f_synonyms",
     "r_bm25_containers",
+    "c_mixture",
 ]
 
 
@@ -107,3 +108,10 @@ def test_matches_in_overlapping_containers(spark):
     rows = r.counted().collect()
     assert len(rows) == len(boxes) and {(x.doc_id, x.s, x.e): (x.tf0, x.tf1, x.tf2) for x in rows} == want
     assert "SortMergeJoin" not in plan(r.counted()) and "BroadcastHashJoin" not in plan(r.counted())
+
+
+def test_mixture_without_counts_of_documents(spark):
+    c = Corpus.documents(spark, SF)
+    p, q = Corpus(c.docs.where("lang = 'en'")), c
+    assert sorted(count.lm_mix(p.frequencies, q.frequencies, 0.7).collect()) == sorted(count.lm_mix(p.lm, q.lm, 0.7).collect())
+    assert count.kl_divergence(p.frequencies, q.frequencies).collect() == count.kl_divergence(p.lm, q.lm).collect()

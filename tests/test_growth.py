@@ -35,6 +35,7 @@ READ_ONCE = [
     "f_synonyms",
     "r_bm25_containers",
     "c_mixture",
+    "r_bm25f_pages",
 ]
 
 
